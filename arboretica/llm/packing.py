@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,34 +15,70 @@ from .shared import keep
 
 #: Pieces of a packing group, in the mean. A group is one task's work: 40 bytes a piece, and the open bins.
 GROUP_PIECES = 50_000
-#: Words whose ids a worker remembers (about 150 bytes each).
-CACHE_WORDS = 400_000
+#: Words of a generation of the cache; a worker remembers two (about 150 bytes a word).
+CACHE_WORDS = 600_000
+
+
+# Byte classes: 1 an ASCII lower-case letter or digit, 2 a mark other than the apostrophe, 4 white space.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[[*range(97, 123), *range(48, 58)]] = 1
+_BYTES[list(b".,;:!?#*$%&|<>()")] = 2
+_BYTES[list(b" \t\n\x0b\x0c\r")] = 4
+
+
+def _part_marks(raw: bytes) -> bytes:
+    """A space before every mark that stands alone between an ASCII letter or digit and white space.
+
+    Such a mark is a piece of its own, so the space changes no id, and words that differ only by it are learnt once.
+    """
+    kind = _BYTES[np.frombuffer(raw, np.uint8)]
+    at = np.flatnonzero((kind[:-2] == 1) & (kind[1:-1] == 2) & (kind[2:] == 4)) + 1
+    if not len(at):
+        return raw
+    out = np.empty(len(raw) + len(at), np.uint8)
+    new = at + np.arange(len(at))
+    keep_at = np.ones(len(out), bool)
+    keep_at[new] = False
+    out[new] = 32
+    out[keep_at] = np.frombuffer(raw, np.uint8)
+    return out.tobytes()
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file whose pre-tokenizer never crosses white space.
+    """Ids of whole texts by a tokenizers file that lower-cases, and parts words at white space and at marks other than the apostrophe.
 
-    A text is cut at ASCII white space, which such a tokenizer drops; each distinct word is encoded by the library once
-    while it stays in the cache, so a text's ids are its words' ids in order. ``__call__`` gives them as little-endian
+    A text is cut at ASCII white space, which such a tokenizer drops, and A-Z are lower-cased, as it does; each distinct
+    word is encoded by the library once while it stays in the cache, with marks behind it as a word of their own. A text's ids are its words' ids in order. ``__call__`` gives them as little-endian
     unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        """Have the ids of all words in the cache. It has two generations: what has not been seen in a full one goes."""
+        if len(self.cache) > self.cache_words:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = words.difference(cache)
+        if older:
+            known = new.intersection(older)
+            cache.update(zip(known, map(older.__getitem__, known)))
+            new -= known
+        part = list(new)
+        for at in range(0, len(part), 20_000):
+            some = part[at : at + 20_000]
+            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
+            cache.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """In groups of about 2 MB of text, so that the words of a group fit the cache and memory stays bounded."""
@@ -48,7 +86,7 @@ class WordEncoder:
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (not split or size < 2 << 20):
-                raw = (texts[at] or "").encode()
+                raw = _part_marks((texts[at] or "").encode().lower())
                 split.append(raw.split())
                 size += len(raw)
                 at += 1
