@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from array import array
@@ -57,6 +58,7 @@ class WordEncoder:
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as little-endian 32-bit integers")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task is one thread; the library's own threads only spin
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
