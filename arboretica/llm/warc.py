@@ -197,4 +197,5 @@ def read_archives(files: DataFrame, path: str, *, with_payload: bool = False, ch
                     yield batch_of(out)
 
     columns = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return files.select("file").repartition("file").mapInArrow(run, columns)
+    # a file is one task's work: an explicit number of partitions is not coalesced
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, columns)
