@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import only
+
 # Classes of code points. The pattern knows letters, numbers, white space and the rest; a plain space and the apostrophe
 # act apart, and so do the letters of the contractions 's 't 're 've 'm 'll 'd.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE = range(6)
@@ -263,13 +265,8 @@ class ByteBpe:
         return np.concatenate([[0], np.cumsum(self.starts[at + 1] - self.starts[at])])
 
 
-_KNOWN: dict[str, ByteBpe] = {}
-
-
 def bpe(path: str) -> ByteBpe:
-    if path not in _KNOWN:
-        _KNOWN[path] = ByteBpe(path)
-    return _KNOWN[path]
+    return only(("bytes", path), lambda: ByteBpe(path))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_offsets: bool = False) -> DataFrame:

@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import threading
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WHITE, new_path
+from .shared import WHITE, new_path, only
 
 #: Keys of a shard at most, in the mean: about 1.2 MB of arrays.
 SHARD_KEYS = 50_000
@@ -147,17 +146,8 @@ class ShardReader:
         return got
 
 
-_READERS: OrderedDict[str, ShardReader] = OrderedDict()
-_LOCK = threading.Lock()
-
-
 def _reader(path: str) -> ShardReader:
-    with _LOCK:
-        if path not in _READERS:
-            _READERS[path] = ShardReader(path)
-            while len(_READERS) > 1:
-                _READERS.popitem(last=False)
-        return _READERS[path]
+    return only(("lines", path), lambda: ShardReader(path))
 
 
 def _pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -175,6 +165,7 @@ def _pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBat
 
 def _keys_of(min_chars: int):
     def run(batches):
+        only("line keys", dict)
         for batch in batches:
             for part in _pieces(batch):
                 digests, ids = [], []

@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import keep
+from .shared import keep, only
 
 #: Pieces of a packing group, in the mean. A group is one task's work: 40 bytes a piece, and the open bins.
 GROUP_PIECES = 50_000
 #: Words of a generation of the cache; a worker remembers two (about 150 bytes a word).
-CACHE_WORDS = 900_000
+CACHE_WORDS = 700_000
 
 
 # Byte classes: 1 an ASCII lower-case letter or digit, 2 a mark other than the apostrophe, 4 white space.
@@ -98,13 +98,8 @@ class WordEncoder:
                 yield b"".join(map(get, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return only(("words", path), lambda: WordEncoder(path))
 
 
 def _cut(path: str, length: int, end_id: int | None, with_ids: bool):
@@ -125,6 +120,7 @@ def _cut(path: str, length: int, end_id: int | None, with_ids: bool):
                     out = []
             if out:
                 yield _piece_batch(out, with_ids)
+        encode.older = {}  # an idle worker holds one generation
     return run
 
 

@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+_HELD: dict = {}
+
+
+def only(key, make):
+    """What ``make`` gives, kept in this worker until another operator asks for something else: caches do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, keep
+from .shared import components, keep, only
 
 #: Fingerprints of a vantage shard in the mean, and rows beyond which a shard is split into pairs of chunks.
 SHARD_ROWS, LARGE_SHARD = 2_000, 20_000
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null texts and texts without a word have fingerprints of zero. Repeated rows and null ids stay; other columns are not read.
     """
     def run(batches):
+        only("simhash", dict)
         for batch in batches:
             ids, texts = batch.column("doc"), batch.column("text").to_pylist()
             at = 0
