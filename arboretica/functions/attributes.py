@@ -36,22 +36,35 @@ def _moments(pd):
     return (a * voxel, own("sxx", "sx", x), own("syy", "sy", y), own("szz", "sz", z), mixed("sxy", "sx", "sy", x, y), mixed("syz", "sy", "sz", y, z), mixed("sxz", "sx", "sz", x, z))
 
 
-def _eigen2(pd) -> tuple[Column, Column]:
-    _, xx, yy, _, xy, *_ = _moments(pd)
-    d = F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)
-    return (xx + yy - d) / 2, (xx + yy + d) / 2
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: the formulas below would else repeat it many times in generated code."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _eigen3(pd) -> tuple[Column, Column, Column]:
-    """Eigenvalues of the 3x3 inertia matrix, ascending, by the trigonometric formula."""
-    _, a, b, c, d, e, f = _moments(pd)
-    q = (a + b + c) / 3
-    p = F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6)
-    det = (a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)
-    r = F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))).otherwise(F.lit(1.0))
-    phi = F.acos(r) / 3
-    high, low = q + 2 * p * F.cos(phi), q + 2 * p * F.cos(phi + 2 * math.pi / 3)
-    return low, 3 * q - low - high, high
+def _inertia(pd, use: Callable[[Column], Column]) -> Column:
+    """``use`` over a struct of the area ``a``, the 2-D eigenvalues ``l1 <= l2`` and the 3-D ones ``m1 <= m2 <= m3``.
+
+    Two dimensions have the closed form, three the trigonometric formula of a symmetric matrix.
+    """
+    names = ("a", "xx", "yy", "zz", "xy", "yz", "xz")
+    moments = F.struct(*[m.alias(n) for n, m in zip(names, _moments(pd))])
+
+    def eigen(m: Column) -> Column:
+        d = F.sqrt((m.xx - m.yy) * (m.xx - m.yy) + 4 * m.xy * m.xy)
+        q = (m.xx + m.yy + m.zz) / 3
+        p = F.sqrt(((m.xx - q) * (m.xx - q) + (m.yy - q) * (m.yy - q) + (m.zz - q) * (m.zz - q) + 2 * (m.xy * m.xy + m.yz * m.yz + m.xz * m.xz)) / 6)
+        det = (m.xx - q) * ((m.yy - q) * (m.zz - q) - m.yz * m.yz) - m.xy * (m.xy * (m.zz - q) - m.yz * m.xz) + m.xz * (m.xy * m.yz - (m.yy - q) * m.xz)
+        return F.struct(m.a.alias("a"), ((m.xx + m.yy - d) / 2).alias("l1"), ((m.xx + m.yy + d) / 2).alias("l2"), q.alias("q"), p.alias("p"), det.alias("det"))
+
+    def angle(e: Column) -> Column:
+        r = F.when(e.p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), e.det / (2 * e.p * e.p * e.p)))).otherwise(F.lit(1.0))
+        return F.struct(e.a.alias("a"), e.l1.alias("l1"), e.l2.alias("l2"), e.q.alias("q"), e.p.alias("p"), (F.acos(r) / 3).alias("phi"))
+
+    def three(e: Column) -> Column:
+        high, low = e.q + 2 * e.p * F.cos(e.phi), e.q + 2 * e.p * F.cos(e.phi + 2 * math.pi / 3)
+        return F.struct(e.a.alias("a"), e.l1.alias("l1"), e.l2.alias("l2"), low.alias("m1"), (3 * e.q - low - high).alias("m2"), high.alias("m3"))
+
+    return _let(moments, lambda m: _let(eigen(m), lambda e: _let(angle(e), lambda f: _let(three(f), use))))
 
 
 def _by_dims(two: Column, three: Column) -> Column:
@@ -59,20 +72,18 @@ def _by_dims(two: Column, three: Column) -> Column:
 
 
 def _elong(pd):
-    (l1, l2), (_, m2, m3) = _eigen2(pd), _eigen3(pd)
-    return _by_dims(l2 / l1, m3 / m2)
+    return _inertia(pd, lambda e: _by_dims(e.l2 / e.l1, e.m3 / e.m2))
 
 
 def _flat(pd):
-    m1, m2, _ = _eigen3(pd)
-    return _by_dims(F.lit(-1.0), m2 / m1)
+    return _inertia(pd, lambda e: _by_dims(F.lit(-1.0), e.m2 / e.m1))
 
 
 def _spars(pd):
-    a = _moments(pd)[0]
-    (l1, l2), m = _eigen2(pd), _eigen3(pd)
-    three = math.pi * F.sqrt(20 * m[0] / a) * F.sqrt(20 * m[1] / a) * F.sqrt(20 * m[2] / a) / (6 * a)
-    return _by_dims(math.pi * F.sqrt(4 * l2 / a) * F.sqrt(4 * l1 / a) / a, three)
+    return _inertia(pd, lambda e: _by_dims(
+        math.pi * F.sqrt(4 * e.l2 / e.a) * F.sqrt(4 * e.l1 / e.a) / e.a,
+        math.pi * F.sqrt(20 * e.m1 / e.a) * F.sqrt(20 * e.m2 / e.a) * F.sqrt(20 * e.m3 / e.a) / (6 * e.a),
+    ))
 
 
 def _trace(pd):

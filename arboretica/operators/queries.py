@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attributes import ATTRIBUTES, attribute, attribute_column, check_lambdas, csl_scale_index, scale_index
-from .tree import chain, pixel_nodes, spread
+from .tree import chain, spread
 
 RULES = ("direct", "min", "max", "subtractive")
 Dims = tuple[float, float, float]
@@ -170,12 +170,10 @@ def tree_table(tree: DataFrame, attr: int | str, width: int, height: int, pixel_
 
 def check_image(tree: DataFrame, attr: int | str, pixel_dim: Dims = ONE) -> DataFrame:
     """Rows ``(image_id, idx, value)``: each pixel's node's attribute."""
-    return tree.select("image_id", F.explode("pixels").alias("idx"), attribute_column(attr, pixel_dim).alias("value"))
+    valued = tree.select("image_id", "pixels", attribute_column(attr, pixel_dim).alias("value"))
+    return valued.select("image_id", F.explode("pixels").alias("idx"), "value")
 
 
 def attribute_table(tree: DataFrame, pixel_dim: Dims = ONE) -> DataFrame:
     """All attributes of all nodes, from one tree: what several queries share."""
     return tree.select("image_id", "node_id", "h", "parent_id", *[a.value(pixel_dim).alias(n) for n, a in ATTRIBUTES.items()])
-
-
-__all__ = [n for n in dir() if n.endswith(("_image", "_nodes", "_table", "spectrum", "_2d")) and n != "pixel_nodes"] + ["RULES", "TREE_COLUMNS", "pixel_nodes"]
