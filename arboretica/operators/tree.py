@@ -46,7 +46,7 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _grid_edges(x: np.ndarray, y: np.ndarray, z: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+def _grid_edges(x: np.ndarray, y: np.ndarray, z: np.ndarray, connectivity: int, is3d: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of neighbouring pixels; pixels that are missing have no neighbours."""
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,7 +66,7 @@ def _grid_edges(x: np.ndarray, y: np.ndarray, z: np.ndarray, connectivity: int)
             return np.where(keys[i] == k, order[i], -1)
 
     ps, qs = [], []
-    for dx, dy, dz in offsets(check_connectivity(connectivity, d > 3)):
+    for dx, dy, dz in offsets(check_connectivity(connectivity, is3d)):
         q = find(at + (dz * h + dy) * w + dx)
         ok = q >= 0
         ps.append(np.flatnonzero(ok))
@@ -123,11 +123,12 @@ def _own_sums(pdf: pd.DataFrame, zone: np.ndarray, n: int) -> dict[str, np.ndarr
     return out
 
 
-def _zones(pdf: pd.DataFrame, connectivity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each node's levelroot, number of each pixel's node, number of each node's parent or -1)."""
+def _zones(pdf: pd.DataFrame, connectivity: int, is3d: bool, lift: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each node's levelroot, number of each pixel's node, number of each node's parent or -1); rows are sorted."""
     g = pdf["g"].to_numpy(float)
-    p, q = _grid_edges(*(pdf[c].to_numpy(np.int64) for c in "xyz"), connectivity)
-    up = component_tree(g, pdf["idx"].to_numpy(np.int64), p, q)
+    x, y, z = (pdf[c].to_numpy(np.int64) for c in "xyz")
+    p, q = _grid_edges(x, y, z + lift, connectivity, is3d)
+    up = component_tree(g, np.arange(len(pdf)), p, q)  # rows are in the order of the index
     is_node = (g[up] != g) | (up == np.arange(len(g)))
     roots = np.flatnonzero(is_node)
     number = np.full(len(g), -1, np.int64)
@@ -187,18 +188,42 @@ def build_tree(pixels: DataFrame, connectivity: int = 4) -> DataFrame:
     check_connectivity(connectivity, False)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        roots, zone, parent = _zones(pdf, connectivity)
-        ids = pdf["idx"].to_numpy()
-        order = np.argsort(zone, kind="stable")
-        nodes = pd.DataFrame({
-            "image_id": pdf["image_id"].iloc[0], "node_id": ids[roots], "h": pdf["g"].to_numpy()[roots],
-            "pixels": np.split(ids[order], np.searchsorted(zone[order], np.arange(1, len(roots)))), **_own_sums(pdf, zone, len(roots)),
-        })
-        nodes["is3d"] = bool(pdf["z"].nunique() > 1)
-        return _grow(nodes, parent)[_ORDER]
-
-    return _drop_unusable(pixels).groupBy("image_id").applyInPandas(kernel, TREE_SCHEMA)
+        """Whole images, sorted by image and index: side by side along z, with a gap, they are one graph."""
+        image = pdf["image_id"].to_numpy()
+        first = np.concatenate([[True], image[1:] != image[:-1]])
+        number = np.cumsum(first) - 1
+        depth = pdf.groupby("image_id")["z"].transform("nunique").to_numpy()
+        out = []
+        for is3d in (False, True):
+            rows = (depth > 1) == is3d
+            if not rows.any():
+                continue
+            own = pdf[rows].reset_index(drop=True)
+            gap = int(own["z"].max() - own["z"].min()) + 2
+            roots, zone, parent = _zones(own, connectivity, is3d, number[rows] * gap)
+            ids, at = own["idx"].to_numpy(), np.argsort(zone, kind="stable")
+            nodes = pd.DataFrame({
+                "image_id": own["image_id"].to_numpy()[roots], "node_id": ids[roots], "h": own["g"].to_numpy()[roots], "is3d": is3d,
+                "pixels": np.split(ids[at], np.searchsorted(zone[at], np.arange(1, len(roots)))), **_own_sums(own, zone, len(roots)),
+            })
+            out.append(_grow(nodes, parent)[_ORDER])
+        return pd.concat(out)
+
+    def run(batches):
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= 20_000:
+                every = pd.concat(held, ignore_index=True)
+                end = int((every["image_id"].to_numpy() == every["image_id"].iloc[-1]).argmax())  # the last image may go on
+                if end:
+                    yield kernel(every[:end])
+                held, size = [every[end:]], len(every) - end
+        if size:
+            yield kernel(pd.concat(held, ignore_index=True))
+
+    return _drop_unusable(pixels).where("image_id IS NOT NULL").repartition("image_id").sortWithinPartitions("image_id", "idx").mapInPandas(run, TREE_SCHEMA)
 
 
 def build_tree_tiled(pixels: DataFrame, tile: Sequence[int], connectivity: int = 4) -> DataFrame:
@@ -220,9 +245,7 @@ def build_tree_tiled(pixels: DataFrame, tile: Sequence[int], connectivity: int =
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
         flat = not bool(pdf["is3d"].iloc[0])
-        # a tile of a volume may be one slice thick: its neighbourhood is still the volume's
-        wanted = check_connectivity(connectivity, not flat)
-        roots, zone, parent = _zones(pdf, 8 if wanted == 26 and pdf["z"].nunique() == 1 else wanted)
+        roots, zone, parent = _zones(pdf, connectivity, not flat)
         ids = pdf["idx"].to_numpy()
         edge = np.zeros(len(pdf), bool)
         for axis, size in (("x", tx), ("y", ty), ("z", tz)):

@@ -142,8 +142,19 @@ def _register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         ORACLE_SQL[name] = sql
 
 
+_HELD: list[DataFrame] = []
+
+
+def _shared(tree: DataFrame) -> DataFrame:
+    """A query reads its tree several times, so it is persisted; the trees of earlier queries are let go."""
+    while len(_HELD) > 3:
+        _HELD.pop(0).unpersist()
+    _HELD.append(tree.persist())
+    return tree
+
+
 def _tree(raster, connectivity: int = 4, mode: str = "None", tree_type: str = "max"):
-    return lambda spark, sf: build_tree(preprocess(raster(spark, sf), mode, tree_type), connectivity)
+    return lambda spark, sf: _shared(build_tree(preprocess(raster(spark, sf), mode, tree_type), connectivity))
 
 
 def _values(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -206,7 +217,7 @@ _INVERT = "SELECT image_id, idx, x, y, z, max(g) OVER () - g AS g FROM px0"
 def _min_tree(spark, sf):
     pixels = preprocess(lineitem_raster(spark, sf), tree_type="min")
     gmax = pixels.select("image_id", "gmax").distinct()
-    out = Q.filter_image(build_tree(pixels), "area", 10).join(gmax, "image_id")
+    out = Q.filter_image(_shared(build_tree(pixels)), "area", 10).join(gmax, "image_id")
     return _values(out.withColumn("value", F.col("gmax") - F.col("value")))
 
 
@@ -227,11 +238,11 @@ _register("rgb_luminance", _rgb, f"WITH {LINEITEM_SQL} SELECT CAST(image_id AS B
 
 def _mosaic(spark, sf):
     tiles = rasters.split_tiles(lineitem_raster(spark, sf), (8, 8, 1), (2, 2, 1))
-    return _values(Q.filter_image(build_tree(rasters.mosaic(tiles, (2, 2, 1), (8, 8, 1))), "area", 10))
+    return _values(Q.filter_image(_shared(build_tree(rasters.mosaic(tiles, (2, 2, 1), (8, 8, 1)))), "area", 10))
 
 
 _register("tile_mosaic_filter_area", _mosaic, LI_SQL + _value_sql(_filter_sql("area", 10)))
-_register("tiled_build_filter_area", lambda s, d: _values(Q.filter_image(build_tree_tiled(lineitem_raster(s, d), (5, 6)), "area", 10)), LI_SQL + _value_sql(_filter_sql("area", 10)))
+_register("tiled_build_filter_area", lambda s, d: _values(Q.filter_image(_shared(build_tree_tiled(lineitem_raster(s, d), (5, 6))), "area", 10)), LI_SQL + _value_sql(_filter_sql("area", 10)))
 _register("tiled_build_check_ncomp_8", lambda s, d: _values(Q.check_image(build_tree_tiled(lineitem_raster(s, d), (5, 6), 8), "ncomp")), chain_sql(LINEITEM_SQL, 8) + _value_sql("SELECT im, p, arg_max(ncomp, h) AS value FROM ch GROUP BY 1, 2"))
 _register("tiled_build_3d_check_area", lambda s, d: _values(Q.check_image(build_tree_tiled(event_volume(s, d), (3, 4, 2), 26), "area")), VOL26_SQL + _value_sql("SELECT im, p, arg_max(area, h) AS value FROM ch GROUP BY 1, 2"))
 
@@ -239,7 +250,7 @@ _register("tiled_build_3d_check_area", lambda s, d: _values(Q.check_image(build_
 def _stack(spark, sf):
     base = lineitem_raster(spark, sf)
     volume = rasters.stack([base, base.withColumn("g", 7 - F.col("g"))])
-    return _values(Q.filter_image(build_tree(volume, 6), "area", 10))
+    return _values(Q.filter_image(_shared(build_tree(volume, 6)), "area", 10))
 
 
 _register("z_stack_filter_area", _stack, chain_sql(LINEITEM_SQL, 4, "SELECT image_id, idx, x, y, 0 AS z, g FROM px0 UNION ALL SELECT image_id, idx + 256, x, y, 1, 7 - g FROM px0") + _value_sql(_filter_sql("area", 10)))
