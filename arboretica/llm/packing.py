@@ -148,10 +148,10 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length by the sum-of-squares rule, longest first.
 
-    ``N[g]`` counts the open bins with residual gap g. An item of size s may open a bin or go to any gap g >= s; the choice
-    is the one after which the sum of N[g]^2 over the gaps 1..capacity-1 is smallest (a full bin no longer counts). Among
-    equal choices the smallest gap wins, so the rule closes bins where it can. Runs of equal sizes are placed one by one;
-    the search for a gap is one vector operation over the gaps that occur.
+    ``N[g]`` counts the open bins with residual gap g. An item of size s goes to an open bin of gap g >= s, that after which
+    the sum of N[g]^2 over the gaps 1..capacity-1 is smallest (a full bin no longer counts); among equal choices the
+    smallest gap wins. A bin is opened only where no open one has room: to let the rule open bins earlier took 0.1 to 4 %
+    more of them on lognormal and uniform sizes. The search for a gap is one vector operation.
     """
     n = len(lengths)
     bins, offsets = np.empty(n, np.int64), np.empty(n, np.int64)
