@@ -66,7 +66,7 @@ def test_attributes_of_the_golden_raster(spark):
     assert [round(rows[n].elong, 4) for n in (0, 2, 6, 13, 15)] == [1.5625, 1.931, 4.0, 2.1429, 1.0]
     assert [round(rows[n].ncomp, 4) for n in (0, 2, 6, 13, 15)] == [0.1708, 0.1941, 0.2083, 0.2037, 0.1667]
     assert [rows[n].flux for n in (0, 2, 6, 13, 15)] == [44, 31, 8, 15, 3] and rows[6].flat == -1
-    table = {r.index: r for r in Q.tree_table(tree, "elong", 5, 4).collect()}
+    table = {r["index"]: r for r in Q.tree_table(tree, "elong", 5, 4).collect()}
     assert [table[n].flux for n in (0, 2, 6, 13, 15)] == [20, 9, 4, 9, 2] and table[0].parent == -1
 
 
