@@ -7,10 +7,12 @@ Fingerprints are equal for equal texts, so all searching is done on distinct fin
   down by its distance over the block's bits, and one that lies outside a ball but within r // 3 of its boundary goes to
   both sides, so both ends of such a pair meet in a shard. The depth follows the number of fingerprints.
 * ``sampled_shards`` for a large radius, where every ball of such a tree would overlap all others: each shard is a ball of
-  radius 0 over sampled bits, many times over. Its recall follows from the sampled bits and is measured in the tests.
+  radius 0 over sampled bits, many times over. The sampled bits follow the number of fingerprints, so that shards keep their
+  mean size, and the number of times follows the bits, so that the recall at the radius is the same at every size.
 
 Within a shard a dual vantage-point tree finds all pairs: a pair of subsets goes on only where the triangle inequality
-leaves a distance of r or less possible. Only a spanning forest of the links leaves the shard.
+leaves a distance of r or less possible. Only a spanning forest of the links leaves the shard, and with a second radius the
+doubtful pairs between its trees, a bounded number a row at a time, whose shingles are then compared.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, keep, only
+from .shared import components, drop_kept, keep, only
 
 #: Fingerprints of a vantage shard in the mean, and rows beyond which a shard is split into pairs of chunks.
 SHARD_ROWS, LARGE_SHARD = 2_000, 20_000
+#: Fingerprints of a sampled shard in the mean, and doubtful partners of a row that leave a shard in one round.
+SAMPLED_ROWS, ROUND_PARTNERS = 1_000, 32
 SALTS = 64
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -82,8 +86,9 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, parts: int = 1) -> DataFrame:
-    """Rows ``(doc, f0[, f1 ...])``: ``parts`` 64-bit fingerprints of each whole text, as signed longs.
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, parts: int = 1, distinct: bool = False) -> DataFrame:
+    """Rows ``(doc, f0[, f1 ...])``: ``parts`` 64-bit fingerprints of each whole text, as signed longs; ``distinct`` counts a
+    shingle that repeats once.
 
     Null texts and texts without a word have fingerprints of zero. Repeated rows and null ids stay; other columns are not read.
     """
@@ -96,6 +101,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 first, all_hashes, sizes = at, [], []
                 while at < len(texts) and len(all_hashes) < 100_000:
                     got = shingle_hashes(texts[at], words, seed)
+                    if distinct:
+                        got = list(dict.fromkeys(got))
                     all_hashes += got
                     sizes.append(len(got))
                     at += 1
@@ -150,8 +157,12 @@ def vantage_shards(classes: DataFrame, radius: int, n: int) -> DataFrame:
     return _expand(classes, codes, 1)
 
 
-def sampled_shards(classes: DataFrame, parts: int, times: int, bits: int) -> DataFrame:
-    """``times`` shards a fingerprint, each of those that agree in ``bits`` sampled bits."""
+def sampled_shards(classes: DataFrame, parts: int, radius: int, n: int, recall: float) -> DataFrame:
+    """Shards of the fingerprints that agree in sampled bits: about SAMPLED_ROWS of the n in each, and as many times as
+    bring two fingerprints at distance ``radius`` together with a probability of ``recall``."""
+    bits = max(0, math.ceil(math.log2(max(1.0, n / SAMPLED_ROWS))))
+    meet = (1 - radius / (64 * parts)) ** bits
+    times = 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
     rng = np.random.default_rng(11)
     places = [rng.permutation(64 * parts)[:bits] for _ in range(times)]
     power = 1 << np.arange(bits, dtype=np.int64)
@@ -172,6 +183,10 @@ class _Forest:
     def __init__(self, n: int):
         self.label, self.links = np.arange(n), []
 
+    def done(self, a: np.ndarray, b: np.ndarray) -> bool:
+        own = self.label[a[0]]
+        return bool((self.label[a] == own).all() and (self.label[b] == own).all())
+
     def row(self, i: int, js: np.ndarray) -> None:
         own = self.label[i]
         other = js[self.label[js] != own]
@@ -181,8 +196,28 @@ class _Forest:
             self.label[np.isin(self.label, labels)] = own
 
 
+class _Doubts(_Forest):
+    """The pairs between a forest's trees; of each row those from ``first`` on in the order of the search, ROUND_PARTNERS of
+    them. ``label`` stays as the forest left it, so each round counts the same pairs; ``far`` are components found since."""
+
+    def __init__(self, forest: _Forest, far: np.ndarray, first: int):
+        self.label, self.links = forest.label, []
+        self.far, self.first, self.more = far, first, False
+        self.seen = np.zeros(len(far), np.int64)
+
+    def row(self, i: int, js: np.ndarray) -> None:
+        js = js[self.label[js] != self.label[i]]
+        at = self.seen[i]
+        self.seen[i] += len(js)
+        js = js[max(0, self.first - at) :]
+        at = max(at, self.first)
+        now = max(0, self.first + ROUND_PARTNERS - at)
+        self.links += [(i, int(j)) for j in js[:now] if self.far[j] != self.far[i]]
+        self.more = self.more or bool((self.far[js[now:]] != self.far[i]).any())
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint8 if a.shape[1] < 4 else np.uint16)
     for k in range(1, a.shape[1]):
         d = d + np.bitwise_count(a[:, None, k] ^ b[None, :, k])
     return d
@@ -200,7 +235,7 @@ def _compare(f, a, b, radius, forest) -> None:
 
 def _join(f, a, b, radius, forest, same: bool) -> None:
     """Links between rows a and b (``same``: within a), by vantage points and triangle bounds."""
-    if not len(a) or not len(b):
+    if not len(a) or not len(b) or forest.done(a, b):
         return
     if len(a) * len(b) <= 65_536:
         return _compare(f, a, b, radius, forest)
@@ -234,45 +269,63 @@ def tree_links(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return forest.links
 
 
-def _links_of_runs(code, rep, f, radius) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (rep, rep) within each run of equal codes: small runs all at once by shifts, others by trees."""
+#: What a row of ``links`` is: a link, a pair whose shingles are to be compared, or (a = code) a shard with more such pairs.
+LINK, DOUBT, MORE = 0, 1, 2
+
+
+def _links_of_runs(code, rep, far, f, radius, doubt, first) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rep, rep, kind) within each run of equal codes: small runs all at once by shifts, others by trees."""
     change = np.flatnonzero(np.diff(code)) + 1
     starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(code)]])
     sizes = ends - starts
     run = np.repeat(np.arange(len(starts)), sizes)
-    small = np.repeat(sizes <= 32, sizes)
+    small = np.repeat(sizes <= ROUND_PARTNERS, sizes)
     at, shift = np.flatnonzero(small), 1
-    while len(at):
+    while len(at) and not first:
         at = at[at + shift < len(code)]
         at = at[run[at] == run[at + shift]]
         if len(at):
             d = sum(np.bitwise_count(f[at, k] ^ f[at + shift, k]).astype(np.int64) for k in range(f.shape[1]))
-            hit = at[d <= radius]
-            yield rep[hit], rep[hit + shift]
+            for hit, kind in ((at[d <= radius], LINK), (at[(d > radius) & (d <= doubt)], DOUBT)):
+                yield rep[hit], rep[hit + shift], kind
         shift += 1
-    for r in np.flatnonzero(sizes > 32):
+    for r in np.flatnonzero(sizes > ROUND_PARTNERS):
         a, b = starts[r], ends[r]
-        if links := tree_links(f[a:b], radius):
-            i, j = np.array(links).T
-            yield rep[a:b][i], rep[a:b][j]
-
+        every, forest = np.arange(b - a), _Forest(b - a)
+        _join(f[a:b], every, every, radius, forest, True)
+        found = [(forest.links, LINK)] if not first else []
+        if doubt > radius:
+            doubts = _Doubts(forest, far[a:b], first)
+            _join(f[a:b], every, every, doubt, doubts, True)
+            found.append((doubts.links, DOUBT))
+            if doubts.more:
+                yield code[a : a + 1], code[a : a + 1], MORE
+        for links, kind in found:
+            if links:
+                i, j = np.array(links).T
+                yield rep[a:b][i], rep[a:b][j], kind
+
+
+def deal_shards(shards: DataFrame, parts: int) -> DataFrame:
+    """Adds (x, y): shards beyond LARGE_SHARD rows are split into chunks, and every pair of chunks becomes a shard of its
+    own, so no task holds more than two chunks and no pair is lost."""
+    names = ["rep", *(f"f{k}" for k in range(parts))]
+    large = keep(shards.groupBy("code").count().where(F.col("count") > LARGE_SHARD), "large-shards")
+    if not large.limit(1).count():
+        return shards.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+    sized = shards.join(large, "code", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / LARGE_SHARD))
+    own = F.pmod(F.xxhash64("f0", F.lit(5)), F.col("n"))
+    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return sized.select("code", *names, F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y"))
 
-def links(shards: DataFrame, radius: int, parts: int) -> DataFrame:
-    """Links ``(a, b)`` between representatives whose fingerprints share a shard and lie within ``radius``.
 
-    Shards beyond LARGE_SHARD rows are split into chunks, and every pair of chunks becomes a shard of its own: no task holds
-    more than two chunks, and no pair is lost.
-    """
+def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int = 0) -> DataFrame:
+    """Rows ``(a, b, kind)`` for representatives of dealt shards: a spanning forest of the pairs within ``radius``, and of
+    each row ROUND_PARTNERS pairs within ``doubt``, from number ``first`` on, whose ``far`` (where present) differ."""
     names = ["rep", *(f"f{k}" for k in range(parts))]
-    large = keep(shards.groupBy("code").count().where(F.col("count") > LARGE_SHARD), "large-shards")
-    shards = shards.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
-    if large.limit(1).count():
-        sized = shards.drop("x", "y").join(large, "code", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / LARGE_SHARD))
-        own = F.pmod(F.xxhash64("f0", F.lit(5)), F.col("n"))
-        sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        shards = sized.select("code", *names, F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y"))
     key = ["code", "x", "y"]
-    dealt = shards.repartition(*key).sortWithinPartitions(*key)
+    dealt = shards.repartition(*key).sortWithinPartitions(*key, "rep")
+    later = "far" in shards.columns
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -283,7 +336,6 @@ def links(shards: DataFrame, radius: int, parts: int) -> DataFrame:
             if size >= 50_000:
                 table = pa.Table.from_batches(held).combine_chunks()
                 last = [table[k][-1].as_py() for k in key]
-                end = table.num_rows
                 # the last run may go on in the next batch
                 codes = [table[k].to_numpy() for k in key]
                 same = (codes[0] == last[0]) & (codes[1] == last[1]) & (codes[2] == last[2])
@@ -298,24 +350,27 @@ def links(shards: DataFrame, radius: int, parts: int) -> DataFrame:
     def found(table: pa.Table):
         x = [table[k].to_numpy() for k in key]
         number = np.concatenate([[0], np.cumsum((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0) | (np.diff(x[2]) != 0))])
+        code = x[0][np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])]
         f = np.stack([table[n].to_numpy() for n in names[1:]], axis=1).view(np.uint64)
-        for a, b in _links_of_runs(number, table["rep"].to_numpy(), f, radius):
+        far = table["far" if later else "rep"].to_numpy()
+        for a, b, kind in _links_of_runs(number, table["rep"].to_numpy(), far, f, radius, doubt, first):
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = (code[a], code[b]) if kind == MORE else (a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, kind int")
 
 
 # ---- the operators
 
-def _components_of(prints: DataFrame, shards_of, radius: int, parts: int) -> DataFrame:
-    """Adds ``component`` to rows (doc, f0 ...): the smallest doc reachable over links, through distinct fingerprints."""
+def _components_of(prints: DataFrame, joined_of, parts: int) -> DataFrame:
+    """Adds ``component`` to rows (doc, f0 ...): the smallest doc reachable over links, through distinct fingerprints.
+    ``joined_of`` gives the (node, component) of the distinct fingerprints and their number."""
     f = [f"f{k}" for k in range(parts)]
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     part = keep(salted.groupBy(*f, "salt").agg(F.min("doc").alias("rep")), "prints")
     classes = keep(part.groupBy(*f).agg(F.min("rep").alias("rep")).where("rep IS NOT NULL"), "classes")
-    found = keep(links(shards_of(classes, classes.count()), radius, parts).distinct(), "links")
-    joined = components(found)
+    joined = joined_of(classes, classes.count())
     whole = classes.join(joined, classes.rep == joined.node, "left").select(*f, F.coalesce("component", "rep").alias("component"))
     back = part.select(*f, "salt").join(whole, f)
     return salted.join(back, [*f, "salt"], "left").select("doc", *f, F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
@@ -329,19 +384,75 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Repeated rows keep their place; a null id gets a null component and links nothing. Other columns are not read.
     """
     prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints")
-    out = _components_of(prints, lambda classes, n: vantage_shards(classes, radius, n), radius, 1)
-    return out.select("doc", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component")
 
+    def joined(classes: DataFrame, n: int) -> DataFrame:
+        found = links(deal_shards(vantage_shards(classes, radius, n), 1), radius, 1)
+        return components(keep(found.select("a", "b").distinct(), "links"))
+
+    out = _components_of(prints, joined, 1)
+    return out.select("doc", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component")
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 2, times: int = 32, bits: int = 18) -> DataFrame:
-    """Rows ``(doc, component)``: groups of documents whose shingles of ``words`` words have a Jaccard similarity of about
-    ``similarity`` or more, judged by the distance of ``64 * parts``-bit SimHashes.
 
-    A similarity s is a cosine of 2s / (1 + s) between sets of shingles, so the expected distance is the angle's share of
-    all bits; pairs up to that distance are linked. Nulls, empty texts and repeated rows are treated as in
-    ``simhash_components``.
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """Rows ``(doc, shingles)``: the distinct shingle hashes of rows (doc, text)."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "shingles"])
+
+    return docs.mapInArrow(run, "doc long, shingles array<long>")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of representatives whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    Only texts that stand in a pair are read again, and a text moves once for each of its pairs."""
+    nodes = pairs.selectExpr("explode(array(a, b)) AS doc").distinct()
+    sets = keep(shingle_sets(docs.join(nodes, "doc", "left_semi").select("doc", "text"), words, seed).dropDuplicates(["doc"]), "shingles")
+    both = pairs.join(sets.selectExpr("doc AS a", "shingles AS s"), "a").join(sets.selectExpr("doc AS b", "shingles AS t"), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("n"))
+    return common.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.97, deviations: float = 2.5) -> DataFrame:
+    """Rows ``(doc, component)``: groups of documents linked by a Jaccard similarity of ``similarity`` or more between their
+    sets of shingles of ``words`` words, found by the distance of ``64 * parts``-bit SimHashes.
+
+    A similarity s is a cosine of 2s / (1 + s) between sets of shingles of one size, so the expected distance is the angle's
+    share of all bits. Pairs more than ``deviations`` standard deviations below it are linked, pairs as far above it are not,
+    and those between are compared shingle by shingle. A row has at most ROUND_PARTNERS such comparisons a shard in one
+    round; rounds go on, for the shards with more, until every doubtful pair between components has been compared.
+    ``recall`` is that of a pair at the outer radius; nearer ones meet more often. Nulls, empty texts and repeated rows are
+    treated as in ``simhash_components``; of rows that share an id, an arbitrary text is compared.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(64 * parts * angle)
-    prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, parts=parts), "fingerprints")
-    return _components_of(prints, lambda classes, n: sampled_shards(classes, parts, times, bits), radius, parts).select("doc", "component")
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * parts
+    spread = deviations * math.sqrt(bits * share * (1 - share))
+    radius, doubt = max(0, math.floor(bits * share - spread)), math.ceil(bits * share + spread)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    prints = keep(fingerprints(texts, id_col="doc", words=words, seed=seed, parts=parts, distinct=True), "fingerprints")
+
+    def joined(classes: DataFrame, n: int) -> DataFrame:
+        shards = deal_shards(sampled_shards(classes, parts, doubt, n, recall), parts)
+        known, first = None, 0
+        while True:
+            found = keep(links(shards, radius, parts, doubt, first), "links")
+            near = found.where(F.col("kind") == LINK).select("a", "b")
+            now = components(near if known is None else known)
+            pairs = found.where(F.col("kind") == DOUBT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            label = lambda c: now.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+            apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+            apart = keep(apart.select("a", "b"), "doubtful")
+            sure = similar_pairs(texts, apart, words, seed, similarity)
+            known = keep((near if known is None else known).union(sure).distinct(), "known")
+            now = components(known)
+            more = found.where(F.col("kind") == MORE).select(F.col("a").alias("code")).distinct()
+            drop_kept(apart)
+            if not more.limit(1).count():
+                return now
+            first += ROUND_PARTNERS
+            far = now.select(F.col("node").alias("rep"), "component")
+            shards = shards.drop("far").join(more, "code", "left_semi").join(far, "rep", "left")
+            shards = keep(shards.withColumn("far", F.coalesce("component", "rep")).drop("component"), "shards")
+
+    return _components_of(prints, joined, parts).select("doc", "component")

@@ -256,8 +256,8 @@ def test_large_shards_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE_SHARD", 50)
     f = np.unique(np.random.default_rng(6).integers(0, 2**10, 400))
     classes = spark.createDataFrame([(i, int(v)) for i, v in enumerate(f)], "rep long, f0 long")
-    found = simhash.links(simhash.vantage_shards(classes, 4, len(f)), 4, 1)
-    assert components(found).select("component").distinct().count() == 1
+    found = simhash.links(simhash.deal_shards(simhash.vantage_shards(classes, 4, len(f)), 1), 4, 1)
+    assert components(found.select("a", "b")).select("component").distinct().count() == 1
 
 
 def test_sampled_groups(spark):
@@ -273,6 +273,56 @@ def test_sampled_groups(spark):
     assert sum(got[i] == got[i + 60] for i in range(60)) >= 54 and len({got[i] for i in range(60)}) == 60
 
 
+def shingle_components(texts):
+    """Smallest ids reachable over pairs of sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets, label = {}, {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i], label[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), i
+    near = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))]
+    for _ in range(len(label)):
+        before = dict(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+    return label
+
+
+def test_groups_follow_the_shingles(spark):
+    """A dense group whose pairs lie around the threshold, more of them to a row than one round compares."""
+    rng = random.Random(5)
+    base = ["w%d" % rng.randrange(5000) for _ in range(300)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for k in rng.sample(range(300), 3 + i % 3):
+            own[k] = "x%d" % rng.randrange(10**6)
+        texts.append((i, " ".join(own)))
+    texts += [(500, None), (501, ""), (502, "one"), (503, "One"), (504, " ".join(base)), (504, " ".join(base))]
+    got = [(r.doc, r.component) for r in simhash.simhash_groups(docs(spark, texts + [(None, texts[0][1])])).collect()]
+    want = shingle_components(texts)
+    assert len(got) == len(texts) + 1 and (None, None) in got
+    assert all(want[i] == c for i, c in got if i is not None)
+    assert simhash.simhash_groups(docs(spark, [])).count() == 0
+
+
+def test_doubtful_pairs_come_in_rounds():
+    """Every pair between trees comes up once over the rounds, a bounded number of a row in each."""
+    f = np.unique(np.random.default_rng(9).integers(0, 2**63, (300, 8)).astype(np.uint64), axis=0)
+    every, pairs, first = np.arange(len(f)), [], 0
+    forest = simhash._Forest(len(f))
+    while True:
+        doubts = simhash._Doubts(forest, every, first)
+        simhash._join(f, every, every, 512, doubts, True)
+        assert max(np.bincount([i for i, _ in doubts.links])) <= simhash.ROUND_PARTNERS
+        pairs += doubts.links
+        first += simhash.ROUND_PARTNERS
+        if not doubts.more:
+            break
+    assert len(pairs) == len(set(pairs)) and {tuple(sorted(p)) for p in pairs} == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f))}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(150)]
