@@ -29,8 +29,9 @@ from .shared import components, drop_kept, keep, only
 
 #: Fingerprints of a vantage shard in the mean, and rows beyond which a shard is split into pairs of chunks.
 SHARD_ROWS, LARGE_SHARD = 2_000, 20_000
-#: Fingerprints of a sampled shard in the mean, and doubtful partners of a row that leave a shard in one round.
-SAMPLED_ROWS, ROUND_PARTNERS = 1_000, 32
+#: Fingerprints of a sampled shard in the mean; doubtful partners of a row that leave a shard in the first round, and how
+#: many times as many in each round after it.
+SAMPLED_ROWS, ROUND_PARTNERS, ROUND_GROWTH = 1_000, 4, 8
 SALTS = 64
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -159,7 +160,7 @@ def vantage_shards(classes: DataFrame, radius: int, n: int) -> DataFrame:
 
 def sampled_shards(classes: DataFrame, parts: int, radius: int, n: int, recall: float) -> DataFrame:
     """Shards of the fingerprints that agree in sampled bits: about SAMPLED_ROWS of the n in each, and as many times as
-    bring two fingerprints at distance ``radius`` together with a probability of ``recall``."""
+    bring two fingerprints at distance ``radius`` together with a probability of ``recall`` (nearer ones more often)."""
     bits = max(0, math.ceil(math.log2(max(1.0, n / SAMPLED_ROWS))))
     meet = (1 - radius / (64 * parts)) ** bits
     times = 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
@@ -197,12 +198,12 @@ class _Forest:
 
 
 class _Doubts(_Forest):
-    """The pairs between a forest's trees; of each row those from ``first`` on in the order of the search, ROUND_PARTNERS of
+    """The pairs between a forest's trees; of each row those from ``first`` on in the order of the search, ``most`` of
     them. ``label`` stays as the forest left it, so each round counts the same pairs; ``far`` are components found since."""
 
-    def __init__(self, forest: _Forest, far: np.ndarray, first: int):
+    def __init__(self, forest: _Forest, far: np.ndarray, first: int, most: int):
         self.label, self.links = forest.label, []
-        self.far, self.first, self.more = far, first, False
+        self.far, self.first, self.end, self.more = far, first, first + most, False
         self.seen = np.zeros(len(far), np.int64)
 
     def row(self, i: int, js: np.ndarray) -> None:
@@ -211,7 +212,7 @@ class _Doubts(_Forest):
         self.seen[i] += len(js)
         js = js[max(0, self.first - at) :]
         at = max(at, self.first)
-        now = max(0, self.first + ROUND_PARTNERS - at)
+        now = max(0, self.end - at)
         self.links += [(i, int(j)) for j in js[:now] if self.far[j] != self.far[i]]
         self.more = self.more or bool((self.far[js[now:]] != self.far[i]).any())
 
@@ -273,7 +274,7 @@ def tree_links(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
 LINK, DOUBT, MORE = 0, 1, 2
 
 
-def _links_of_runs(code, rep, far, f, radius, doubt, first) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _links_of_runs(code, rep, far, f, radius, doubt, first, most) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(rep, rep, kind) within each run of equal codes: small runs all at once by shifts, others by trees."""
     change = np.flatnonzero(np.diff(code)) + 1
     starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(code)]])
@@ -295,7 +296,7 @@ def _links_of_runs(code, rep, far, f, radius, doubt, first) -> Iterator[tuple[np
         _join(f[a:b], every, every, radius, forest, True)
         found = [(forest.links, LINK)] if not first else []
         if doubt > radius:
-            doubts = _Doubts(forest, far[a:b], first)
+            doubts = _Doubts(forest, far[a:b], first, most)
             _join(f[a:b], every, every, doubt, doubts, True)
             found.append((doubts.links, DOUBT))
             if doubts.more:
@@ -319,9 +320,9 @@ def deal_shards(shards: DataFrame, parts: int) -> DataFrame:
     return sized.select("code", *names, F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y"))
 
 
-def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int = 0) -> DataFrame:
+def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int = 0, most: int = ROUND_PARTNERS) -> DataFrame:
     """Rows ``(a, b, kind)`` for representatives of dealt shards: a spanning forest of the pairs within ``radius``, and of
-    each row ROUND_PARTNERS pairs within ``doubt``, from number ``first`` on, whose ``far`` (where present) differ."""
+    each row ``most`` pairs within ``doubt``, from number ``first`` on, whose ``far`` (where present) differ."""
     names = ["rep", *(f"f{k}" for k in range(parts))]
     key = ["code", "x", "y"]
     dealt = shards.repartition(*key).sortWithinPartitions(*key, "rep")
@@ -353,7 +354,7 @@ def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int
         code = x[0][np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])]
         f = np.stack([table[n].to_numpy() for n in names[1:]], axis=1).view(np.uint64)
         far = table["far" if later else "rep"].to_numpy()
-        for a, b, kind in _links_of_runs(number, table["rep"].to_numpy(), far, f, radius, doubt, first):
+        for a, b, kind in _links_of_runs(number, table["rep"].to_numpy(), far, f, radius, doubt, first, most):
             if len(a):
                 a, b = (code[a], code[b]) if kind == MORE else (a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
@@ -415,44 +416,42 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, seed: int, simi
     return common.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.97, deviations: float = 2.5) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.95, inner: float = 2.0, outer: float = 1.5) -> DataFrame:
     """Rows ``(doc, component)``: groups of documents linked by a Jaccard similarity of ``similarity`` or more between their
     sets of shingles of ``words`` words, found by the distance of ``64 * parts``-bit SimHashes.
 
     A similarity s is a cosine of 2s / (1 + s) between sets of shingles of one size, so the expected distance is the angle's
-    share of all bits. Pairs more than ``deviations`` standard deviations below it are linked, pairs as far above it are not,
-    and those between are compared shingle by shingle. A row has at most ROUND_PARTNERS such comparisons a shard in one
-    round; rounds go on, for the shards with more, until every doubtful pair between components has been compared.
-    ``recall`` is that of a pair at the outer radius; nearer ones meet more often. Nulls, empty texts and repeated rows are
-    treated as in ``simhash_components``; of rows that share an id, an arbitrary text is compared.
+    share of all bits. Pairs more than ``inner`` standard deviations below it are linked, pairs more than ``outer`` above it
+    are not, and those between are compared shingle by shingle. A row has a bounded number of such comparisons a shard in one round;
+    rounds go on, for the shards with more, until every doubtful pair between components has been compared.
+    ``recall`` is the chance that a pair at the expected distance shares a shard; nearer ones do more often. Nulls, empty
+    texts and repeated rows are treated as in ``simhash_components``; of rows that share an id, one text is compared.
     """
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * parts
-    spread = deviations * math.sqrt(bits * share * (1 - share))
-    radius, doubt = max(0, math.floor(bits * share - spread)), math.ceil(bits * share + spread)
+    spread = math.sqrt(bits * share * (1 - share))
+    radius, doubt = max(0, math.floor(bits * share - inner * spread)), math.floor(bits * share + outer * spread)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = keep(fingerprints(texts, id_col="doc", words=words, seed=seed, parts=parts, distinct=True), "fingerprints")
 
     def joined(classes: DataFrame, n: int) -> DataFrame:
-        shards = deal_shards(sampled_shards(classes, parts, doubt, n, recall), parts)
-        known, first = None, 0
+        every = keep(sampled_shards(classes, parts, math.ceil(bits * share), n, recall), "shards")
+        shards = dealt = deal_shards(every, parts)
+        known, first, most = None, 0, ROUND_PARTNERS
         while True:
-            found = keep(links(shards, radius, parts, doubt, first), "links")
-            near = found.where(F.col("kind") == LINK).select("a", "b")
-            now = components(near if known is None else known)
+            found = keep(links(shards, radius, parts, doubt, first, most), "links")
             pairs = found.where(F.col("kind") == DOUBT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            label = lambda c: now.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-            apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-            apart = keep(apart.select("a", "b"), "doubtful")
-            sure = similar_pairs(texts, apart, words, seed, similarity)
-            known = keep((near if known is None else known).union(sure).distinct(), "known")
+            pairs = keep(pairs, "doubtful")
+            sure = similar_pairs(texts, pairs, words, seed, similarity)
+            old = known if first else found.where(F.col("kind") == LINK).select("a", "b")
+            known = keep(old.union(sure), "known")
             now = components(known)
             more = found.where(F.col("kind") == MORE).select(F.col("a").alias("code")).distinct()
-            drop_kept(apart)
             if not more.limit(1).count():
+                drop_kept(every)
                 return now
-            first += ROUND_PARTNERS
+            first, most = first + most, most * ROUND_GROWTH
             far = now.select(F.col("node").alias("rep"), "component")
-            shards = shards.drop("far").join(more, "code", "left_semi").join(far, "rep", "left")
-            shards = keep(shards.withColumn("far", F.coalesce("component", "rep")).drop("component"), "shards")
+            shards = dealt.join(more, "code", "left_semi").join(far, "rep", "left")
+            shards = shards.withColumn("far", F.coalesce("component", "rep")).drop("component")
 
     return _components_of(prints, joined, parts).select("doc", "component")

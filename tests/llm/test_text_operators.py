@@ -310,14 +310,14 @@ def test_groups_follow_the_shingles(spark):
 def test_doubtful_pairs_come_in_rounds():
     """Every pair between trees comes up once over the rounds, a bounded number of a row in each."""
     f = np.unique(np.random.default_rng(9).integers(0, 2**63, (300, 8)).astype(np.uint64), axis=0)
-    every, pairs, first = np.arange(len(f)), [], 0
+    every, pairs, first, most = np.arange(len(f)), [], 0, simhash.ROUND_PARTNERS
     forest = simhash._Forest(len(f))
     while True:
-        doubts = simhash._Doubts(forest, every, first)
+        doubts = simhash._Doubts(forest, every, first, most)
         simhash._join(f, every, every, 512, doubts, True)
-        assert max(np.bincount([i for i, _ in doubts.links])) <= simhash.ROUND_PARTNERS
+        assert max(np.bincount([i for i, _ in doubts.links])) <= most
         pairs += doubts.links
-        first += simhash.ROUND_PARTNERS
+        first, most = first + most, most * simhash.ROUND_GROWTH
         if not doubts.more:
             break
     assert len(pairs) == len(set(pairs)) and {tuple(sorted(p)) for p in pairs} == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f))}
