@@ -32,6 +32,9 @@ SHARD_ROWS, LARGE_SHARD = 2_000, 20_000
 #: Fingerprints of a sampled shard in the mean; doubtful partners of a row that leave a shard in the first round, and how
 #: many times as many in each round after it.
 SAMPLED_ROWS, ROUND_PARTNERS, ROUND_GROWTH = 1_000, 4, 8
+#: Texts of the sample that finds frequent shingles, at least, and shingles that are listed as frequent; sets beyond which
+#: a shingle's rows are told their components; 64-bit words of parities of a set.
+SAMPLE_TEXTS, MOST_LISTED, HOT_SETS, PARITIES = 4_000, 100_000, 250, 8
 SALTS = 64
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -394,64 +397,260 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component")
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """Rows ``(doc, shingles)``: the distinct shingle hashes of rows (doc, text)."""
+def _shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def _digest(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles; equal for equal sets."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def text_classes(texts: DataFrame, words: int, seed: int, parts: int) -> DataFrame:
+    """Rows ``(doc, text_hash, node, f0[, f1 ...])`` for rows (doc, text, text_hash): the name of the text's set of shingles
+    and the set's fingerprints."""
     def run(batches):
+        only("simhash", dict)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "shingles"])
+            rows, at = batch.column("text").to_pylist(), 0
+            while at < len(rows):
+                first, sets, size = at, [], 0
+                while at < len(rows) and size < 100_000:
+                    sets.append(_shingle_set(rows[at], words, seed))
+                    size += len(sets[-1])
+                    at += 1
+                h, n = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
+                cols = [pa.array(majority_bits(_mix(h, k), n).view(np.int64)) for k in range(parts)]
+                own = [batch.column(c).slice(first, at - first) for c in ("doc", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([_digest(s) for s in sets], pa.int64()), *cols], ["doc", "text_hash", "node", *(f"f{k}" for k in range(parts))])
+
+    schema = "doc long, text_hash long, node long, " + ", ".join(f"f{k} long" for k in range(parts))
+    return texts.select("doc", "text", "text_hash").mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, "doc long, shingles array<long>")
+# ---- pairs of similar sets: prefixes of shingles
 
+def frequent_shingles(texts: DataFrame, n: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingles ascending, their number in a sample, texts that one of the sample stands for): shingles that are frequent.
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    Only texts that stand in a pair are read again, and a text moves once for each of its pairs."""
-    nodes = pairs.selectExpr("explode(array(a, b)) AS doc").distinct()
-    sets = keep(shingle_sets(docs.join(nodes, "doc", "left_semi").select("doc", "text"), words, seed).dropDuplicates(["doc"]), "shingles")
-    both = pairs.join(sets.selectExpr("doc AS a", "shingles AS s"), "a").join(sets.selectExpr("doc AS b", "shingles AS t"), "b")
+    They only set the order in which sets list their shingles, so what the sample misses costs time and never a pair."""
+    size = min(max(SAMPLE_TEXTS, n // 20), 10 * SAMPLE_TEXTS)
+    stride = max(1, n // size)
+
+    def run(batches):
+        only("simhash", dict)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t, words, seed).view(np.int64))], ["key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(stride)) == 0).select("text").mapInArrow(run, "key long")
+    most = sample.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(MOST_LISTED).collect()
+    keys, counts = np.array([r[0] for r in most], np.int64).view(np.uint64), np.array([r[1] for r in most], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order], stride
+
+
+def prefix_rows(texts: DataFrame, words: int, seed: int, similarity: float, listed: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """Rows ``(key, x, y, node, n, at, hot)``: the first shingles of each set of n, rarest first, at their places ``at``.
+
+    Two sets with a Jaccard similarity of ``similarity`` or more have at least that share of either's shingles in common, so
+    in one order of all shingles the first n - ceil(similarity n) + 1 of both share one. Shingles of more than LARGE_SHARD
+    sets, by the sample, are dealt to pairs of chunks (x, y)."""
+    keys, counts, stride = listed
+    chunks = np.maximum(1, -(-counts * stride // LARGE_SHARD))
+
+    def run(batches):
+        only("simhash", dict)
+        seen: set[int] = set()  # equal sets of one task are listed once
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                own = _shingle_set(text, words, seed)
+                n, node = len(own), _digest(own)
+                if not n or node in seen:
+                    continue
+                seen.add(node)
+                rank, split = np.zeros(n, np.int64), np.ones(n, np.int64)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = keys[place] == own
+                    rank[hit], split[hit] = counts[place[hit]], chunks[place[hit]]
+                first = np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
+                at, rank, split = np.arange(len(first)), rank[first], split[first]
+                row = np.repeat(at, split)
+                mine, other = (node % split)[row], np.arange(len(row)) - np.repeat(np.cumsum(split) - split, split)
+                out.append((own[first][row].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.full(len(row), node), np.full(len(row), n), at[row], rank[row] * stride > HOT_SETS))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out)]
+                kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds)], ["key", "x", "y", "node", "n", "at", "hot"])
+
+    return texts.select("text").mapInArrow(run, "key long, x int, y int, node long, n int, at int, hot boolean")
+
+
+def _run_pairs(run, node, far, n, at, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of each run of equal keys whose sets' components differ, and whose sizes and places leave the similarity
+    possible if this is the first shingle that both list."""
+    def possible(i, j):
+        need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+        return (far[i] != far[j]) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
+
+    sizes = np.bincount(run)
+    start = np.cumsum(sizes) - sizes
+    small, shift = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= 32)), 1
+    while len(small):
+        small = small[small + shift < len(run)]
+        small = small[run[small] == run[small + shift]]
+        ok = small[possible(small, small + shift)]
+        yield ok, ok + shift
+        shift += 1
+    for r in np.flatnonzero(sizes > 32):
+        rows = np.arange(start[r], start[r] + sizes[r])
+        if (far[rows] == far[rows[0]]).all():
+            continue
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        lo = 0
+        while lo < len(rows):
+            hi = min(len(rows), lo + max(1, 1_000_000 // (len(rows) - lo)))
+            end = np.searchsorted(n[rows], n[rows[hi - 1]] / similarity + 1e-6, "right")
+            i, j = rows[lo:hi, None], rows[None, lo:end]
+            a, b = np.nonzero(possible(i, j) & (np.arange(lo, hi)[:, None] < np.arange(lo, end)))
+            yield rows[lo + a], rows[lo + b]
+            lo = hi
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of nodes that share a row's key and may have the similarity, of rows with ``far``."""
+    key = ["key", "x", "y"]
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "node")
+
+    def run(batches):
+        only("simhash", dict)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 50_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                codes = [table[k].to_numpy() for k in key]
+                end = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in codes])))
+                if end:
+                    yield from found(table.slice(0, end))
+                held = table.slice(end).to_batches()
+                size = table.num_rows - end
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    def found(table):
+        codes = [table[k].to_numpy() for k in key]
+        number = np.concatenate([[0], np.cumsum(np.logical_or.reduce([np.diff(c) != 0 for c in codes]))])
+        node = table["node"].to_numpy()
+        new = np.ones(len(node), bool)  # equal sets of several tasks
+        new[1:] = (np.diff(number) != 0) | (node[1:] != node[:-1])
+        far, n, at = (table[c].to_numpy()[new] for c in ("far", "n", "at"))
+        number, node = number[new], node[new]
+        held, size = [], 0
+        for i, j in _run_pairs(number, node, far, n, at, similarity):
+            held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+            size += len(i)
+            if size > 500_000:
+                yield batch(held)
+                held, size = [], 0
+        if size:
+            yield batch(held)
+
+    def batch(held):
+        pairs = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """Rows ``(node, n, p0 ..., shingles)`` of rows (text): each set, its size, and the parities of its shingles dealt to
+    512 places, which differ between two sets in at most as many places as the sets in shingles."""
+    def run(batches):
+        only("simhash", dict)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                sets = [_shingle_set(t, words, seed) for t in batch.column("text").slice(at, 64).to_pylist()]
+                odd = np.stack([np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1 for s in sets])
+                bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                cols = [pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(bits[:, k].copy()) for k in range(PARITIES))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", *(f"p{k}" for k in range(PARITIES)), "shingles"])
+
+    return texts.select("text").mapInArrow(run, "node long, n int, " + "".join(f"p{k} long, " for k in range(PARITIES)) + "shingles array<long>")
+
+
+def similar_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Only texts that
+    stand in a pair are read again; parities first part most pairs, and a set moves once for each of the pairs that are left."""
+    nodes = keep(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "nodes")
+    ids = keep(classes.join(nodes, "node").select(F.col("rep").alias("doc")).distinct(), "ids")
+    sets = shingle_sets(texts.join(ids, "doc", "left_semi"), words, seed).join(nodes, "node", "left_semi")
+    sets = keep(sets.dropDuplicates(["node"]), "shingles")
+    p = [f"p{k}" for k in range(PARITIES)]
+    short = sets.select("node", "n", *p)
+    one, two = (short.select(F.col("node").alias(side), *(F.col(c).alias(side + c) for c in ["n", *p])) for side in ("a", "b"))
+    differ = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in p), F.lit(0))
+    close = pairs.join(one, "a").join(two, "b").where(differ <= (1 - similarity) / (1 + similarity) * (F.col("an") + F.col("bn")) + 1e-6)
+    close = keep(close.select("a", "b"), "close")
+    both = close.join(sets.selectExpr("node AS a", "shingles AS s"), "a").join(sets.selectExpr("node AS b", "shingles AS t"), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("n"))
-    return common.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b")
+    sure = keep(common.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b"), "similar")
+    for table in (sets, close, ids, nodes):
+        drop_kept(table)
+    return sure
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.95, inner: float = 2.0, outer: float = 1.5) -> DataFrame:
+def text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.95, inner: float = 2.5) -> DataFrame:
+    """``simhash_groups`` with ``text_hash``, Spark's ``xxhash64`` of the row's text, and ``root``, the group's own name: rows
+    that share an id may stand in several groups."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * parts
+    radius = max(0, math.floor(bits * share - inner * math.sqrt(bits * share * (1 - share))))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    f = [f"f{k}" for k in range(parts)]
+    prints = keep(text_classes(texts, words, seed, parts), "fingerprints")
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    part = keep(salted.groupBy("node", "salt").agg(F.min("doc").alias("rep"), *(F.min(c).alias(c) for c in f)), "prints")
+    classes = keep(part.groupBy("node").agg(F.min("rep").alias("rep"), *(F.min(c).alias(c) for c in f)).where("rep IS NOT NULL"), "classes")
+    n = classes.count()
+
+    # near copies by their fingerprints, so that large groups of them are not compared pair by pair
+    shards = keep(sampled_shards(classes.select(F.col("node").alias("rep"), *f), parts, radius, n, recall), "shards")
+    near = keep(links(deal_shards(shards, parts), radius, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    drop_kept(shards)
+    own = texts.where("doc IS NOT NULL")
+    known = similar_pairs(own, classes, near, words, seed, similarity)
+    far = keep(components(known).withColumnRenamed("component", "far"), "far")
+
+    # all other pairs, by their rarest shingles
+    rows = keep(prefix_rows(own, words, seed, similarity, frequent_shingles(own, n, words, seed)), "prefixes")
+    hot = rows.where("hot").join(far, "node", "left").withColumn("far", F.coalesce("far", "node"))
+    apart = prefix_pairs(rows.where("NOT hot").withColumn("far", F.col("node")).unionByName(hot).drop("hot"), similarity)
+    apart = apart.join(far.selectExpr("node AS a", "far AS fa"), "a", "left").join(far.selectExpr("node AS b", "far AS fb"), "b", "left")
+    apart = keep(apart.where("coalesce(fa, a) <> coalesce(fb, b)").select("a", "b"), "apart")
+    drop_kept(rows)
+    joined = components(known.union(similar_pairs(own, classes, apart, words, seed, similarity)))
+
+    whole = classes.select("node", "rep").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    whole = whole.join(whole.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "root", "component")
+    back = part.select("node", "salt").join(whole, "node")
+    out = salted.join(back, ["node", "salt"], "left")
+    return out.select("doc", "text_hash", "root", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
+
+
+def simhash_groups(docs: DataFrame, **options) -> DataFrame:
     """Rows ``(doc, component)``: groups of documents linked by a Jaccard similarity of ``similarity`` or more between their
-    sets of shingles of ``words`` words, found by the distance of ``64 * parts``-bit SimHashes.
-
-    A similarity s is a cosine of 2s / (1 + s) between sets of shingles of one size, so the expected distance is the angle's
-    share of all bits. Pairs more than ``inner`` standard deviations below it are linked, pairs more than ``outer`` above it
-    are not, and those between are compared shingle by shingle. A row has a bounded number of such comparisons a shard in one round;
-    rounds go on, for the shards with more, until every doubtful pair between components has been compared.
-    ``recall`` is the chance that a pair at the expected distance shares a shard; nearer ones do more often. Nulls, empty
-    texts and repeated rows are treated as in ``simhash_components``; of rows that share an id, one text is compared.
+    sets of shingles of ``words`` words; ``component`` is the smallest id of the group.
+
+    Exact, up to equal 64-bit hashes of shingles and sets. Near copies are found first by ``64 * parts``-bit SimHashes: a
+    similarity s is a cosine of 2s / (1 + s) between sets of one size, so the expected distance is the angle's share of all
+    bits, and pairs ``inner`` standard deviations below it that share a shard (``recall`` is the chance at that distance)
+    are compared. Both only save work. Then every pair of sets from different groups whose rarest shingles have one in
+    common is compared, which leaves out no pair of that similarity. Groups of near copies cost no more than their links;
+    a dense group whose pairs all lie just below the similarity is compared pair by pair. Null texts and texts without a
+    word are equal; repeated rows stay; a null id gets a null component and links nothing. Rows that share an id and differ
+    in text are apart.
     """
-    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * parts
-    spread = math.sqrt(bits * share * (1 - share))
-    radius, doubt = max(0, math.floor(bits * share - inner * spread)), math.floor(bits * share + outer * spread)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    prints = keep(fingerprints(texts, id_col="doc", words=words, seed=seed, parts=parts, distinct=True), "fingerprints")
-
-    def joined(classes: DataFrame, n: int) -> DataFrame:
-        every = keep(sampled_shards(classes, parts, math.ceil(bits * share), n, recall), "shards")
-        shards = dealt = deal_shards(every, parts)
-        known, first, most = None, 0, ROUND_PARTNERS
-        while True:
-            found = keep(links(shards, radius, parts, doubt, first, most), "links")
-            pairs = found.where(F.col("kind") == DOUBT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = keep(pairs, "doubtful")
-            sure = similar_pairs(texts, pairs, words, seed, similarity)
-            old = known if first else found.where(F.col("kind") == LINK).select("a", "b")
-            known = keep(old.union(sure), "known")
-            now = components(known)
-            more = found.where(F.col("kind") == MORE).select(F.col("a").alias("code")).distinct()
-            if not more.limit(1).count():
-                drop_kept(every)
-                return now
-            first, most = first + most, most * ROUND_GROWTH
-            far = now.select(F.col("node").alias("rep"), "component")
-            shards = dealt.join(more, "code", "left_semi").join(far, "rep", "left")
-            shards = shards.withColumn("far", F.coalesce("component", "rep")).drop("component")
-
-    return _components_of(prints, joined, parts).select("doc", "component")
+    return text_groups(docs, **options).select("doc", "component")

@@ -307,6 +307,29 @@ def test_groups_follow_the_shingles(spark):
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
 
 
+def around_the_threshold(pairs, seed):
+    """Pairs of texts of 20 to 400 words whose sets of shingles have a similarity of about 0.75 to 0.9."""
+    rng, texts = random.Random(seed), []
+    for k in range(pairs):
+        n = (20, 30, 45, 100, 200, 400)[k % 6]
+        one = ["w%d" % rng.randrange(5000) for _ in range(n)]
+        two = one + ["y%d" % rng.randrange(10**6) for _ in range(round((n - 4) * rng.uniform(0.1, 0.33)))]
+        texts += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    return texts
+
+
+def test_groups_miss_no_pair(spark, monkeypatch):
+    """Short and long texts just above and below the threshold, and shingles so frequent that their rows are dealt to chunks."""
+    texts = around_the_threshold(240, 3)
+    common = " ".join("c%d" % k for k in range(40))
+    texts += [(1000 + i, common + " " + " ".join("z%d" % (100 * i + k) for k in range(4 + i % 12))) for i in range(60)]
+    want = shingle_components(texts)
+    for chunk in (20_000, 25):
+        monkeypatch.setattr(simhash, "LARGE_SHARD", chunk)
+        monkeypatch.setattr(simhash, "HOT_SETS", chunk // 100)
+        assert {r.doc: r.component for r in simhash.simhash_groups(docs(spark, texts)).collect()} == want
+
+
 def test_doubtful_pairs_come_in_rounds():
     """Every pair between trees comes up once over the rounds, a bounded number of a row in each."""
     f = np.unique(np.random.default_rng(9).integers(0, 2**63, (300, 8)).astype(np.uint64), axis=0)
