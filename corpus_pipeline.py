@@ -13,7 +13,7 @@ from arboretica.llm.packing import pack_documents
 from arboretica.llm.quality import judge_quality
 from arboretica.llm.queries import tokenizer
 from arboretica.llm.shared import keep
-from arboretica.llm.simhash import simhash_groups
+from arboretica.llm.simhash import text_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    stays = simhash_groups(docs).where("doc = component").select(F.col("doc").alias("doc_id")).distinct()
-    one = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One row of each group of near-duplicates: the one with the smallest id. Rows without an id stay, and so do rows that
+    share an id but stand in different groups."""
+    first = text_groups(docs).where("doc = component").groupBy("root").agg(F.min(F.struct("doc", "text_hash")).alias("m"))
+    stays = first.select(F.col("m.doc").alias("doc_id"), "m.text_hash")
+    one = docs.withColumn("text_hash", F.xxhash64("text")).join(stays, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return one.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def test_stages(spark, corpus):
     assert not seen[2] & {100, 101, 102, 103, 104} and len(seen[2] & {200, 201, 202, 203, 204}) <= 1 and len(seen[2] & set(range(300, 306))) <= 1
 
 
+def test_near_dedup_of_shared_ids(spark):
+    """Rows that share an id and differ in text are judged by their texts, and equal rows stay once."""
+    a, b, c = (" ".join("%s%d" % (x, k) for k in range(50)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, c), (3, c + " end"), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text[0]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(1, "a"), (1, "b"), (3, "c")]
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() >= 30
