@@ -10,6 +10,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 import __spark_entry__  # noqa: E402
 from arboretica.llm.quality import judge_quality  # noqa: E402
+from test_text_operators import around_the_threshold, shingle_components  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +45,16 @@ def test_stages(spark, corpus):
     assert not seen[2] & {100, 101, 102, 103, 104} and len(seen[2] & {200, 201, 202, 203, 204}) <= 1 and len(seen[2] & set(range(300, 306))) <= 1
 
 
+def test_near_dedup_keeps_one_of_each_group(spark):
+    """Survivors are the smallest ids of the brute-force components, for pairs of 0.75 to 0.9 and short texts."""
+    texts = around_the_threshold(120, 6)
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts] + [(None, texts[0][1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    want = set(shingle_components(texts).values())
+    assert 120 < len(want) < 240 and len(got) == len(want) + 1 and set(got) == want | {None}
+
+
 def test_near_dedup_of_shared_ids(spark):
     """Rows that share an id and differ in text are judged by their texts, and equal rows stay once."""
     a, b, c = (" ".join("%s%d" % (x, k) for k in range(50)) for x in "abc")
