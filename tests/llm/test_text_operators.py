@@ -422,3 +422,14 @@ def test_media(spark):
     for bad in (b"", b"P5", b"P5\n2 2\n255\n1", b"P6\n1 1\n255\nabc"):
         with pytest.raises(media.MediaError):
             media.decode_pgm(bad)
+
+
+def test_media_counts_all_links_of_a_group(spark, monkeypatch):
+    """More edits of one picture than a bucket's shifts compare: each is linked to all others, with and without chunks."""
+    picture = media.render_vector([1.0, 2.0])
+    rows = [(i, bytearray(media.encode_pgm(np.clip(picture.astype(int) + i, 0, 255)))) for i in range(20)]
+    images = spark.createDataFrame(rows, "media_id long, image binary")
+    for large in (5_000, 8):
+        monkeypatch.setattr(media, "LARGE_BUCKET", large)
+        got = media.image_groups(images).collect()
+        assert {(r.component, r.n_links) for r in got} == {(0, 19)}
