@@ -26,10 +26,9 @@ CACHE_SLICES = 400_000
 def classes() -> np.ndarray:
     """The class of every code point, by its Unicode category; made once a worker."""
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    categories = [unicodedata.category(chr(i))[0] for i in range(0x32000)] + ["C"] * (0xE0000 - 0x32000)
-    letters = np.array(categories)
-    out[: len(letters)][letters == "L"] = LETTER
-    out[: len(letters)][letters == "N"] = NUMBER
+    categories = np.array([unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)])
+    out[categories == "L"] = LETTER
+    out[categories == "N"] = NUMBER
     # The code points of the property White_Space
     for first, last in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         out[first : last + 1] = BLANK

@@ -153,6 +153,16 @@ def test_byte_bpe(spark):
     assert all(digests[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts)
 
 
+def test_classes_cover_all_code_points():
+    """Letters beyond U+32000 are letters too."""
+    import sys
+    import unicodedata
+
+    kinds = [unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)]
+    got = byte_bpe.classes()
+    assert kinds[0x323AF] == "L" and all((got[i] == byte_bpe.LETTER) == (k == "L") and (got[i] == byte_bpe.NUMBER) == (k == "N") for i, k in enumerate(kinds))
+
+
 def test_scan_equals_the_automaton():
     symbols = np.random.default_rng(3).integers(0, 12, 5000).astype(np.uint8)
     state, expected = byte_bpe.START, []
