@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from arboretica.llm import byte_bpe, html_text, licenses, line_dedup, media, packing, quality, simhash, url_filter, warc  # noqa: E402
+from arboretica.llm import byte_bpe, licenses, line_dedup, media, packing, quality, simhash, url_filter, warc  # noqa: E402
 from arboretica.llm.shared import WHITE, components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, doc string, `__t` string"
@@ -368,28 +368,6 @@ def test_components(spark):
     assert got == label
 
 
-def test_html(spark):
-    page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy this now</div><article><h1>Title</h1><p>One &amp; two&nbsp;three<br>four <b>five</b>\n six.<p>Short.</p><script>var a="</p>";</script><p>%s</p></article><section id="comments"><p>%s</p></section><footer>&copy; all</footer></body></html>' % ("word " * 50, "nice " * 40)
-    assert html_text.main_text(page) == "Title\n\nOne & two three four five six.\n\nShort.\n\n" + ("word " * 50).strip()
-    x, y = html_text.labelled_table()
-    tree = html_text.trained_tree()
-    assert ((tree(x) > 0.5) == y).all()
-    # held out: leave each labelled page out and judge it by a tree of the others
-    right = total = 0
-    sizes = []
-    for own in html_text.LABELLED:
-        sizes.append(len(html_text.blocks("".join(m for _, m in own))))
-    ends = np.cumsum(sizes)
-    for a, b in zip(ends - sizes, ends):
-        rest = np.r_[0:a, b : len(y)]
-        right += int(((html_text.DecisionTree(x[rest], y[rest])(x[a:b]) > 0.5) == y[a:b]).sum())
-        total += b - a
-    assert right / total >= 0.8
-    rows = [(1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "<p"), (4, "w", "<!-- x"), (5, "w", "plain < text & more"), (6, "w", "<div>" * 3000 + "deep"), (7, "w", "<script>x"), (8, "w", "</p></div>")]
-    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-
-
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ü\r\nX: y", "same"), (2, "b", "same"), (3, "c", "other é"), (4, None, None), (5, "e", ""), (6, "f", "big " * 50000), (6, "f", "big " * 50000), (None, "g", "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, refers_to string")
