@@ -19,10 +19,12 @@ def _with_extrema(pixels: DataFrame) -> DataFrame:
 
 
 def preprocess(pixels: DataFrame, mode: str = "None", tree_type: str = "max") -> DataFrame:
-    """Rescale or transform, then invert for a min-tree (``g = gmax - g``); ``g_orig`` keeps the value before inversion.
+    """Rescale, invert for a min-tree, transform; ``g_orig`` keeps the value before inversion and transform.
 
-    Rescaling maps the extrema to 0 and 2^bits - 1 without rounding (a constant image becomes 0). Values that a logarithm or
-    root does not have become null, and the tree leaves such pixels out.
+    Rescaling maps the extrema to 0 and 2^bits - 1 without rounding (a constant image becomes 0) and comes before the
+    inversion ``g = gmax - g``; logarithms, roots and exponentials come after it, on the inverted values. For a min-tree
+    ``gmax`` is what undoes the inversion: the greatest value before it, or after a transform the greatest transformed one.
+    Values that a logarithm or root does not have become null, and the tree leaves such pixels out.
     """
     if mode not in MODES:
         raise ValueError(f"preprocessing must be one of {MODES}, not {mode!r}")
@@ -34,17 +36,14 @@ def preprocess(pixels: DataFrame, mode: str = "None", tree_type: str = "max") ->
         span = F.col("gmax") - F.col("gmin")
         scaled = F.when(span > 0, (g - F.col("gmin")) * float(2 ** _BITS[mode] - 1) / span).otherwise(0.0)
         pixels = _with_extrema(pixels).withColumn("g", scaled).drop("gmin", "gmax")
-    elif mode == "log":
-        pixels = pixels.withColumn("g", F.when(g > 0, F.log(g)))
-    elif mode == "log10":
-        pixels = pixels.withColumn("g", F.when(g > 0, F.log10(g)))
-    elif mode == "sqrt":
-        pixels = pixels.withColumn("g", F.when(g >= 0, F.sqrt(g)))
-    elif mode == "exp":
-        pixels = pixels.withColumn("g", F.exp(g))
-    pixels = pixels.withColumn("g_orig", F.col("g"))
+    pixels = pixels.withColumn("g_orig", g)
     if tree_type == "min":
         pixels = _with_extrema(pixels).withColumn("g", F.col("gmax") - g).drop("gmin")
+    change = {"log": F.when(g > 0, F.log(g)), "log10": F.when(g > 0, F.log10(g)), "sqrt": F.when(g >= 0, F.sqrt(g)), "exp": F.exp(g)}.get(mode)
+    if change is not None:
+        pixels = pixels.withColumn("g", change)
+        if tree_type == "min":
+            pixels = _with_extrema(pixels.drop("gmax")).drop("gmin")
     return pixels
 
 

@@ -1,13 +1,18 @@
-"""The tree queries: filter, extract, dmp, csl, pattern, pattern2D, tree and check, as DataFrame and window code."""
+"""The tree queries: filter, extract, dmp, csl, pattern, pattern2D, tree and check, as DataFrame code over a tree's nodes.
+
+What a node becomes follows from the nodes above it: a fold along its path (``paths``), linear in nodes but for a logarithm of
+the depth. Pixels are reached last, by one join of zones with values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attributes import ATTRIBUTES, attribute, attribute_column, check_lambdas, csl_scale_index, scale_index
-from .tree import chain, spread
+from .paths import down, down_best, marked_above
+from .tree import Tree, spread
 
 RULES = ("direct", "min", "max", "subtractive")
 Dims = tuple[float, float, float]
@@ -21,11 +26,11 @@ def _rule(rule: int | str) -> str:
     return name
 
 
-def _with_attr(tree: DataFrame, attr: int | str, pixel_dim: Dims) -> DataFrame:
-    return tree.select("image_id", "node_id", "h", "parent_id", "parent_h", "depth", "path", attribute_column(attr, pixel_dim).alias("attr"))
+def _with_attr(tree: Tree, attr: int | str, pixel_dim: Dims) -> DataFrame:
+    return tree.nodes.select("image_id", "node_id", "h", "parent_id", "parent_h", attribute_column(attr, pixel_dim).alias("attr"))
 
 
-def filter_nodes(tree: DataFrame, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE) -> DataFrame:
+def filter_nodes(tree: Tree, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE) -> DataFrame:
     """Rows ``(image_id, node_id, value)``: what a node's pixels become when nodes with ``attr < lam`` are pruned.
 
     direct: the highest passing level on the node's path, else 0. subtractive: the sum of the passing steps. min: the level
@@ -33,50 +38,51 @@ def filter_nodes(tree: DataFrame, attr: int | str, lam: float, rule: int | str =
     A null attribute (a weighted mean without weight) fails.
     """
     rule, nodes = _rule(rule), _with_attr(tree, attr, pixel_dim)
+    ok, inner = F.col("ok"), F.col("parent_h").isNotNull()
     nodes = nodes.withColumn("ok", F.coalesce(F.col("attr") >= float(lam), F.lit(False)))
-    steps = chain(nodes, "h", "parent_h", "ok")
     if rule == "max":
-        passing = nodes.where("ok").select("image_id", F.explode("path").alias("anc_id")).distinct().withColumn("any", F.lit(True))
-        steps = steps.join(passing, ["image_id", "anc_id"], "left").withColumn("ok", F.coalesce("any", F.lit(False)))
-    best = F.max(F.when(F.col("ok"), F.col("h")))
-    if rule in ("direct", "max"):
-        value = F.coalesce(best, F.lit(0.0))
-    elif rule == "subtractive":
-        value = F.coalesce(F.sum(F.when(F.col("ok"), F.col("h") - F.coalesce("parent_h", F.lit(0.0)))), F.lit(0.0))
+        nodes = marked_above(nodes, "ok", tree.tiled)
+    if rule == "subtractive":
+        own, fold = F.when(ok, F.col("h") - F.coalesce("parent_h", F.lit(0.0))), "sum"
+    elif rule == "min":
+        own, fold = F.when(~ok & inner, F.col("parent_h")), "min"
     else:
-        first_fail = F.min(F.when(~F.col("ok") & F.col("parent_h").isNotNull(), F.col("parent_h")))
-        value = F.when(F.count(F.lit(1)) == 1, F.coalesce(best, F.lit(0.0))).otherwise(F.coalesce(first_fail, F.max("h")))
-    return steps.groupBy("image_id", "node_id").agg(value.alias("value"))
+        own, fold = F.when(ok, F.col("h")), "max"
+    found = down(nodes.withColumn("own", own), {"value": (fold, "own")}, tiled=tree.tiled)
+    value = F.coalesce("value", F.lit(0.0))
+    if rule == "min":
+        value = F.when(inner, F.coalesce("value", "h")).otherwise(F.when(ok, F.col("h")).otherwise(0.0))
+    return found.select("image_id", "node_id", value.alias("value"))
 
 
-def filter_image(tree: DataFrame, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE, gmax: Column | None = None) -> DataFrame:
+def filter_image(tree: Tree, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE, gmax: Column | None = None) -> DataFrame:
     """Rows ``(image_id, idx, value)``; ``gmax`` undoes the inversion of a min-tree."""
     out = spread(filter_nodes(tree, attr, lam, rule, pixel_dim), tree)
     return out if gmax is None else out.withColumn("value", gmax - F.col("value"))
 
 
-def extract_image(tree: DataFrame, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE) -> DataFrame:
+def extract_image(tree: Tree, attr: int | str, lam: float, rule: int | str = "direct", pixel_dim: Dims = ONE) -> DataFrame:
     """Rows ``(image_id, idx, value)``: the top-hat, what the filter takes away."""
-    kept = filter_nodes(tree, attr, lam, rule, pixel_dim).join(tree.select("image_id", "node_id", "h"), ["image_id", "node_id"])
+    kept = filter_nodes(tree, attr, lam, rule, pixel_dim).join(tree.nodes.select("image_id", "node_id", "h"), ["image_id", "node_id"])
     return spread(kept.select("image_id", "node_id", (F.col("h") - F.col("value")).alias("value")), tree)
 
 
-def dmp_image(tree: DataFrame, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE, differential: bool = False) -> DataFrame:
-    """Rows ``(image_id, idx, k, lambda, value)``: a top-hat for each threshold, all in one pass over the chains.
+def dmp_image(tree: Tree, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE, differential: bool = False) -> DataFrame:
+    """Rows ``(image_id, idx, k, lambda, value)``: a top-hat for each threshold, all in one pass over the paths.
 
     ``differential`` gives the differences of successive top-hats instead.
     """
     lams = check_lambdas(lambdas, imscale)[1:]
-    nodes = _with_attr(tree, attr, pixel_dim)
-    own = F.max(F.when(F.col("is_self"), F.col("h")))
-    planes = [own - F.coalesce(F.max(F.when(F.col("attr") >= lam, F.col("h"))), F.lit(0.0)) for lam in lams]
+    nodes = _with_attr(tree, attr, pixel_dim).withColumns({f"own{k}": F.when(F.col("attr") >= lam, F.col("h")) for k, lam in enumerate(lams)})
+    found = down(nodes, {f"kept{k}": ("max", f"own{k}") for k in range(len(lams))}, tiled=tree.tiled)
+    planes = [F.col("h") - F.coalesce(F.col(f"kept{k}"), F.lit(0.0)) for k in range(len(lams))]
     if differential:
         planes = [planes[0], *(b - a for a, b in zip(planes, planes[1:]))]
-    rows = chain(nodes, "h", "attr").groupBy("image_id", "node_id").agg(F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(lam).alias("lambda"), p.alias("value")) for k, (lam, p) in enumerate(zip(lams, planes))]).alias("planes"))
-    return spread(rows.select("image_id", "node_id", F.inline("planes")), tree)
+    rows = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(lam).alias("lambda"), p.alias("value")) for k, (lam, p) in enumerate(zip(lams, planes))])
+    return spread(found.select("image_id", "node_id", rows.alias("planes")), tree).select("image_id", "idx", F.inline("planes"))
 
 
-def csl_nodes(tree: DataFrame, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE) -> DataFrame:
+def csl_nodes(tree: Tree, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE) -> DataFrame:
     """Rows ``(image_id, node_id, contrast, scale, luminance)`` of the contrast, scale and luminance segmentation.
 
     Along a path from the last reset node (the root, or a node from the last threshold on), steps of one scale add up; the
@@ -84,21 +90,20 @@ def csl_nodes(tree: DataFrame, attr: int | str, lambdas: Sequence[float], imscal
     """
     lams = check_lambdas(lambdas, imscale)
     ns = len(lams)
-    nodes = _with_attr(tree, attr, pixel_dim).withColumn("sc", csl_scale_index(F.col("attr"), lams))
-    steps = chain(nodes, "h", "parent_h", "sc").withColumn("reset", (F.col("sc") == ns) | F.col("parent_h").isNull())
-    path = Window.partitionBy("image_id", "node_id")
-    down = path.orderBy("depth")
-    steps = steps.withColumn("from", F.max(F.when(F.col("reset"), F.col("depth"))).over(path)).where("depth >= from")
-    steps = steps.withColumn("dh", F.when(F.col("reset"), 0.0).otherwise(F.col("h") - F.col("parent_h")))
-    change = F.when(~F.col("reset") & (F.col("sc") != F.lag("sc").over(down)), 1).otherwise(0)
-    steps = steps.withColumn("change", change).withColumn("island", F.sum("change").over(down))
-    steps = steps.withColumn("cur", F.sum("dh").over(Window.partitionBy("image_id", "node_id", "island").orderBy("depth")))
-    start = F.col("reset") & F.col("parent_h").isNotNull()
-    won = F.max(F.struct("cur", "depth", F.when(start, ns).otherwise(F.col("sc")).alias("scale"), F.when(start, 0.0).otherwise(F.col("h")).alias("luminance"))).alias("w")
-    return steps.groupBy("image_id", "node_id").agg(won).select("image_id", "node_id", F.col("w.cur").alias("contrast"), F.col("w.scale").alias("scale"), F.col("w.luminance").alias("luminance"))
-
-
-def csl_image(tree: DataFrame, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE) -> DataFrame:
+    nodes = _with_attr(tree, attr, pixel_dim).withColumn("scale", csl_scale_index(F.col("attr"), lams))
+    above = nodes.select("image_id", F.col("node_id").alias("parent_id"), F.col("scale").alias("up_scale"))
+    nodes = nodes.join(above, ["image_id", "parent_id"], "left")
+    root = F.col("parent_h").isNull()
+    nodes = nodes.select(
+        "image_id", "node_id", "parent_id", ((F.col("scale") == ns) | root).alias("reset"), (F.coalesce(F.col("scale") != F.col("up_scale"), F.lit(True)) | (F.col("scale") == ns)).alias("begins"),
+        F.when((F.col("scale") == ns) & ~root, F.lit(0.0)).otherwise(F.col("h")).alias("luminance"), F.when(root | (F.col("scale") == ns), F.lit(0.0)).otherwise(F.col("h") - F.col("parent_h")).alias("dh"),
+        "scale",
+    )
+    sums = down(nodes, {"contrast": ("sum", "dh")}, "begins", tree.tiled)
+    return down_best(sums, "contrast", ("scale", "luminance"), "reset", tree.tiled).select("image_id", "node_id", "contrast", "scale", "luminance")
+
+
+def csl_image(tree: Tree, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE) -> DataFrame:
     return spread(csl_nodes(tree, attr, lambdas, imscale, pixel_dim), tree)
 
 
@@ -117,20 +122,20 @@ def csl_combine(opening: DataFrame, closing: DataFrame, n_lambdas: int, gmax: Co
     )
 
 
-def _steps(tree: DataFrame, background: bool) -> DataFrame:
+def _steps(tree: Tree, background: bool) -> DataFrame:
     low = F.lit(0.0) if background else F.col("h")
-    return tree.withColumn("mass", (F.col("h") - F.coalesce(F.col("parent_h"), low)) * F.col("area"))
+    return tree.nodes.withColumn("mass", (F.col("h") - F.coalesce(F.col("parent_h"), low)) * F.col("area"))
 
 
-def _bins(tree: DataFrame, sizes: list[int]) -> DataFrame:
+def _bins(tree: Tree, sizes: list[int]) -> DataFrame:
     """Every bin of every image, so that empty ones have a row; bins are as many as thresholds, whatever the data."""
-    out = tree.select("image_id").distinct()
+    out = tree.nodes.where("parent_id IS NULL").select("image_id").distinct()
     for i, n in enumerate(sizes):
         out = out.withColumn(f"k{i + 1}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return out
 
 
-def pattern_spectrum(tree: DataFrame, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE, include_background: bool = True) -> DataFrame:
+def pattern_spectrum(tree: Tree, attr: int | str, lambdas: Sequence[float], imscale: float = 1.0, pixel_dim: Dims = ONE, include_background: bool = True) -> DataFrame:
     """Rows ``(image_id, k, lambda, spectrum)``: the mass of each node's step, summed by the scale of its attribute."""
     lams = check_lambdas(lambdas, imscale)
     rows = _steps(tree, include_background).withColumn("k1", scale_index(attribute_column(attr, pixel_dim), lams)).groupBy("image_id", "k1").agg(F.sum("mass").alias("s"))
@@ -138,7 +143,7 @@ def pattern_spectrum(tree: DataFrame, attr: int | str, lambdas: Sequence[float],
     return full.select("image_id", F.col("k1").alias("k"), F.element_at(F.array(*map(F.lit, lams)), F.col("k1") + 1).alias("lambda"), F.coalesce("s", F.lit(0.0)).alias("spectrum"))
 
 
-def pattern_spectrum_2d(tree: DataFrame, attr1: int | str, lambdas1: Sequence[float], attr2: int | str, lambdas2: Sequence[float], imscale1: float = 1.0, imscale2: float = 1.0, pixel_dim: Dims = ONE, include_background: bool = True) -> DataFrame:
+def pattern_spectrum_2d(tree: Tree, attr1: int | str, lambdas1: Sequence[float], attr2: int | str, lambdas2: Sequence[float], imscale1: float = 1.0, imscale2: float = 1.0, pixel_dim: Dims = ONE, include_background: bool = True) -> DataFrame:
     """Rows ``(image_id, k1, k2, lambda1, lambda2, spectrum)`` over two attributes of any groups."""
     l1, l2 = check_lambdas(lambdas1, imscale1), check_lambdas(lambdas2, imscale2)
     rows = _steps(tree, include_background).withColumns({"k1": scale_index(attribute_column(attr1, pixel_dim), l1), "k2": scale_index(attribute_column(attr2, pixel_dim), l2)})
@@ -158,22 +163,21 @@ TREE_COLUMNS = {
 }
 
 
-def tree_table(tree: DataFrame, attr: int | str, width: int, height: int, pixel_dim: Dims = ONE) -> DataFrame:
+def tree_table(tree: Tree, attr: int | str, width: int, height: int, pixel_dim: Dims = ONE) -> DataFrame:
     """A row for each node with the columns of the attribute's group; parents are canonical ids, -1 above the root."""
     i = F.col("node_id")
-    return tree.select(
+    return tree.nodes.select(
         "image_id", i.alias("index"), (i % width).alias("x"), (F.floor(i / width) % height).alias("y"), F.floor(i / (width * height)).alias("z"),
         F.col("h").alias("gval"), F.coalesce("parent_id", F.lit(-1)).alias("parent"), ((F.col("h") - F.coalesce("parent_h", F.lit(0.0))) * F.col("area")).alias("flux"), "area",
         *[attribute_column(a, pixel_dim).alias(c) for c, a in TREE_COLUMNS[attribute(attr).group].items()],
     )
 
 
-def check_image(tree: DataFrame, attr: int | str, pixel_dim: Dims = ONE) -> DataFrame:
+def check_image(tree: Tree, attr: int | str, pixel_dim: Dims = ONE) -> DataFrame:
     """Rows ``(image_id, idx, value)``: each pixel's node's attribute."""
-    valued = tree.select("image_id", "pixels", attribute_column(attr, pixel_dim).alias("value"))
-    return valued.select("image_id", F.explode("pixels").alias("idx"), "value")
+    return spread(tree.nodes.select("image_id", "node_id", attribute_column(attr, pixel_dim).alias("value")), tree)
 
 
-def attribute_table(tree: DataFrame, pixel_dim: Dims = ONE) -> DataFrame:
+def attribute_table(tree: Tree, pixel_dim: Dims = ONE) -> DataFrame:
     """All attributes of all nodes, from one tree: what several queries share."""
-    return tree.select("image_id", "node_id", "h", "parent_id", *[a.value(pixel_dim).alias(n) for n, a in ATTRIBUTES.items()])
+    return tree.nodes.select("image_id", "node_id", "h", "parent_id", *[a.value(pixel_dim).alias(n) for n, a in ATTRIBUTES.items()])

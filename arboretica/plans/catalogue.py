@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.attributes import ATTRIBUTES
-from ..functions.preprocess import preprocess
+from ..functions.preprocess import extrema, preprocess
 from ..operators import queries as Q
-from ..operators.tree import build_tree, build_tree_tiled
+from ..operators.tree import Tree, build_tree, build_tree_tiled
 from ..sources import rasters
 
 CSL_LAMBDAS = (3, 10, 40)
@@ -142,19 +142,33 @@ def _register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         ORACLE_SQL[name] = sql
 
 
-_HELD: list[DataFrame] = []
+_HELD: dict[tuple, Tree] = {}
+#: Trees that stay persisted for the queries to come; the one that was not asked for the longest goes first.
+MOST_HELD = 4
 
 
-def _shared(tree: DataFrame) -> DataFrame:
-    """A query reads its tree several times, so it is persisted; the trees of earlier queries are let go."""
-    while len(_HELD) > 3:
-        _HELD.pop(0).unpersist()
-    _HELD.append(tree.persist())
+def _shared(key: tuple, spark: SparkSession, sf: str, build: Callable[[], Tree]) -> Tree:
+    """The tree of a raster, built once for all queries that ask for it in this session."""
+    key = (spark.sparkContext.applicationId, sf, *key)
+    tree = _HELD.pop(key, None) or build().persist()
+    _HELD[key] = tree
+    while len(_HELD) > MOST_HELD:
+        _HELD.pop(next(iter(_HELD))).unpersist()
     return tree
 
 
+def release() -> None:
+    """Let all held trees go."""
+    while _HELD:
+        _HELD.popitem()[1].unpersist()
+
+
 def _tree(raster, connectivity: int = 4, mode: str = "None", tree_type: str = "max"):
-    return lambda spark, sf: _shared(build_tree(preprocess(raster(spark, sf), mode, tree_type), connectivity))
+    return lambda spark, sf: _shared((raster.__name__, connectivity, mode, tree_type), spark, sf, lambda: build_tree(preprocess(raster(spark, sf), mode, tree_type), connectivity))
+
+
+def _tiled(raster, tile: tuple[int, ...], connectivity: int = 4):
+    return lambda spark, sf: _shared((raster.__name__, tile, connectivity), spark, sf, lambda: build_tree_tiled(raster(spark, sf), tile, connectivity))
 
 
 def _values(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -215,9 +229,8 @@ _INVERT = "SELECT image_id, idx, x, y, z, max(g) OVER () - g AS g FROM px0"
 
 
 def _min_tree(spark, sf):
-    pixels = preprocess(lineitem_raster(spark, sf), tree_type="min")
-    gmax = pixels.select("image_id", "gmax").distinct()
-    out = Q.filter_image(_shared(build_tree(pixels)), "area", 10).join(gmax, "image_id")
+    gmax = extrema(lineitem_raster(spark, sf)).select("image_id", "gmax")
+    out = Q.filter_image(_tree(lineitem_raster, 4, "None", "min")(spark, sf), "area", 10).join(gmax, "image_id")
     return _values(out.withColumn("value", F.col("gmax") - F.col("value")))
 
 
@@ -236,24 +249,24 @@ def _rgb(spark, sf):
 _register("rgb_luminance", _rgb, f"WITH {LINEITEM_SQL} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(idx AS BIGINT) AS idx, round(0.2126::DOUBLE * (g + x) + 0.7152::DOUBLE * (2 * g + y) + 0.0722::DOUBLE * (3 * g + x), 6) AS value FROM px0")
 
 
-def _mosaic(spark, sf):
-    tiles = rasters.split_tiles(lineitem_raster(spark, sf), (8, 8, 1), (2, 2, 1))
-    return _values(Q.filter_image(_shared(build_tree(rasters.mosaic(tiles, (2, 2, 1), (8, 8, 1)))), "area", 10))
+def mosaic_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem raster, cut into four tiles and put together again."""
+    return rasters.mosaic(rasters.split_tiles(lineitem_raster(spark, sf_dir), (8, 8, 1), (2, 2, 1)), (2, 2, 1), (8, 8, 1))
 
 
-_register("tile_mosaic_filter_area", _mosaic, LI_SQL + _value_sql(_filter_sql("area", 10)))
-_register("tiled_build_filter_area", lambda s, d: _values(Q.filter_image(_shared(build_tree_tiled(lineitem_raster(s, d), (5, 6))), "area", 10)), LI_SQL + _value_sql(_filter_sql("area", 10)))
-_register("tiled_build_check_ncomp_8", lambda s, d: _values(Q.check_image(build_tree_tiled(lineitem_raster(s, d), (5, 6), 8), "ncomp")), chain_sql(LINEITEM_SQL, 8) + _value_sql("SELECT im, p, arg_max(ncomp, h) AS value FROM ch GROUP BY 1, 2"))
-_register("tiled_build_3d_check_area", lambda s, d: _values(Q.check_image(build_tree_tiled(event_volume(s, d), (3, 4, 2), 26), "area")), VOL26_SQL + _value_sql("SELECT im, p, arg_max(area, h) AS value FROM ch GROUP BY 1, 2"))
+_register("tile_mosaic_filter_area", lambda s, d: _values(Q.filter_image(_tree(mosaic_raster)(s, d), "area", 10)), LI_SQL + _value_sql(_filter_sql("area", 10)))
+_register("tiled_build_filter_area", lambda s, d: _values(Q.filter_image(_tiled(lineitem_raster, (5, 6))(s, d), "area", 10)), LI_SQL + _value_sql(_filter_sql("area", 10)))
+_register("tiled_build_check_ncomp_8", lambda s, d: _values(Q.check_image(_tiled(lineitem_raster, (5, 6), 8)(s, d), "ncomp")), chain_sql(LINEITEM_SQL, 8) + _value_sql("SELECT im, p, arg_max(ncomp, h) AS value FROM ch GROUP BY 1, 2"))
+_register("tiled_build_3d_check_area", lambda s, d: _values(Q.check_image(_tiled(event_volume, (3, 4, 2), 26)(s, d), "area")), VOL26_SQL + _value_sql("SELECT im, p, arg_max(area, h) AS value FROM ch GROUP BY 1, 2"))
 
 
-def _stack(spark, sf):
-    base = lineitem_raster(spark, sf)
-    volume = rasters.stack([base, base.withColumn("g", 7 - F.col("g"))])
-    return _values(Q.filter_image(_shared(build_tree(volume, 6)), "area", 10))
+def stacked_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem raster and its negative as two slices."""
+    base = lineitem_raster(spark, sf_dir)
+    return rasters.stack([base, base.withColumn("g", 7 - F.col("g"))])
 
 
-_register("z_stack_filter_area", _stack, chain_sql(LINEITEM_SQL, 4, "SELECT image_id, idx, x, y, 0 AS z, g FROM px0 UNION ALL SELECT image_id, idx + 256, x, y, 1, 7 - g FROM px0") + _value_sql(_filter_sql("area", 10)))
+_register("z_stack_filter_area", lambda s, d: _values(Q.filter_image(_tree(stacked_volume, 6)(s, d), "area", 10)), chain_sql(LINEITEM_SQL, 4, "SELECT image_id, idx, x, y, 0 AS z, g FROM px0 UNION ALL SELECT image_id, idx + 256, x, y, 1, 7 - g FROM px0") + _value_sql(_filter_sql("area", 10)))
 _register("vector_images_filter_area", lambda s, d: _values(Q.filter_image(_tree(vector_images)(s, d), "area", 4)), chain_sql(VECTOR_SQL) + _value_sql(_filter_sql("area", 4)))
 _register("vector_images_pattern_area", lambda s, d: Q.pattern_spectrum(_tree(vector_images)(s, d), "area", (4, 16)), chain_sql(VECTOR_SQL).rstrip() + ", " + _NODES.format(cols="") + f""", bins AS (SELECT image_id, k, lam FROM (SELECT DISTINCT image_id FROM px), (VALUES (0, CAST(0 AS DOUBLE)), (1, CAST(4 AS DOUBLE)), (2, CAST(16 AS DOUBLE))) b(k, lam))
 SELECT CAST(image_id AS BIGINT) AS image_id, k, lam AS "lambda", coalesce(sum(mass), 0) AS spectrum FROM bins LEFT JOIN nodes ON im = image_id AND {_bucket_sql('area', (4, 16))} = k GROUP BY 1, 2, 3""")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tree import build_tree
+from ..operators.tree import Tree, build_tree
 
 
-def query_frames(frames: DataFrame, ask: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, connectivity: int = 4) -> StreamingQuery:
+def query_frames(frames: DataFrame, ask: Callable[[Tree], DataFrame], path: str, checkpoint: str, connectivity: int = 4) -> StreamingQuery:
     """Start a query over streamed ``pixels``: per micro-batch, build the trees, ``ask(tree)``, append to ``path``.
 
     A frame's pixels must arrive in one micro-batch (a file per frame does that). Results are written under the batch's

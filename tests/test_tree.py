@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from arboretica.functions.attributes import ATTRIBUTES, check_lambdas, register_attribute
 from arboretica.functions.preprocess import preprocess
@@ -70,6 +71,16 @@ def test_attributes_of_the_golden_raster(spark):
     assert [table[n].flux for n in (0, 2, 6, 13, 15)] == [20, 9, 4, 9, 2] and table[0].parent == -1
 
 
+def table(tree):
+    """The nodes of a tree and their zones' pixels."""
+    zones = {}
+    for r in tree.zones.collect():
+        zones.setdefault((r.image_id, r.node_id), []).extend(r.pixels)
+    nodes = {(r.image_id, r.node_id): r for r in tree.nodes.collect()}
+    assert nodes.keys() == zones.keys()
+    return {k: Row(**r.asDict(), pixels=sorted(zones[k])) for k, r in nodes.items()}
+
+
 @pytest.mark.parametrize("w,h,d,connectivity", [(6, 5, 1, 4), (6, 5, 1, 8), (4, 4, 3, 6), (4, 3, 3, 26)])
 def test_against_brute_force_and_tiled(spark, w, h, d, connectivity):
     rng = np.random.default_rng(w * h * d + connectivity)
@@ -77,8 +88,7 @@ def test_against_brute_force_and_tiled(spark, w, h, d, connectivity):
     pixels = raster(spark, images[0], w, h)
     for i, v in enumerate(images[1:], 1):
         pixels = pixels.unionByName(raster(spark, v, w, h, i))
-    whole = {(r.image_id, r.node_id): r for r in build_tree(pixels, connectivity).collect()}
-    tiled = {(r.image_id, r.node_id): r for r in build_tree_tiled(pixels, (3, 2, 2), connectivity).collect()}
+    whole, tiled = (table(build_tree(pixels, connectivity)), table(build_tree_tiled(pixels, (3, 2, 2), connectivity)))
     for i, v in enumerate(images):
         expected = {n: c for (n, _), c in brute(v, w, h, connectivity).items()}
         assert {n for (im, n) in whole if im == i} == set(expected)
@@ -87,8 +97,7 @@ def test_against_brute_force_and_tiled(spark, w, h, d, connectivity):
             assert r.area == len(comp) and r.sg == sum(v[p] for p in comp) and r.maxx == max(p % w for p in comp) + 1
             above = [m for m, c in expected.items() if m != n and n in c and v[m] < v[n]]
             assert r.parent_id == (max(above, key=lambda m: v[m]) if above else None)
-    strip = lambda r: {**r.asDict(), "pixels": sorted(r.pixels)}
-    assert {k: strip(r) for k, r in whole.items()} == {k: strip(r) for k, r in tiled.items()}
+    assert whole == tiled
 
 
 def test_rules_on_chains(spark):
@@ -113,13 +122,16 @@ def test_rules_on_chains(spark):
 def test_edges(spark):
     empty = spark.createDataFrame([], PIXELS)
     assert build_tree(empty).count() == 0 and Q.filter_image(build_tree(empty), "area", 2).count() == 0
-    one = build_tree(raster(spark, [7], 1, 1)).collect()
+    assert build_tree_tiled(empty, (2, 2)).count() == 0
+    one = build_tree(raster(spark, [7], 1, 1)).nodes.collect()
     assert len(one) == 1 and one[0].area == 1 and one[0].parent_id is None
-    flat = build_tree(raster(spark, [3] * 12, 4, 3)).collect()
-    assert len(flat) == 1 and flat[0].pixels == list(range(12))
-    holes = build_tree(raster(spark, [1, None, 2, float("nan"), 5, 5], 3, 2)).collect()
-    assert sum(len(r.pixels) for r in holes) == 4
-    assert build_tree(raster(spark, list(range(20)), 20, 1)).agg({"depth": "max"}).first()[0] == 19
+    flat = table(build_tree(raster(spark, [3] * 12, 4, 3)))
+    assert list(flat) == [(0, 0)] and flat[(0, 0)].pixels == list(range(12))
+    holes = raster(spark, [1, None, 2, float("nan"), 5, 5], 3, 2)
+    assert sum(len(r.pixels) for r in table(build_tree(holes)).values()) == 4
+    assert table(build_tree(holes)) == table(build_tree_tiled(holes, (1, 1)))
+    steps = build_tree(raster(spark, list(range(20)), 20, 1))
+    assert by_idx(Q.filter_image(steps, "area", 1, "subtractive")) == list(range(20))
     with pytest.raises(ValueError):
         build_tree(empty, 5)
     with pytest.raises(ValueError):
@@ -146,3 +158,70 @@ def test_own_attribute(spark):
         register_attribute("brightness", 3, lambda p: F.col("sg") / F.col("area"))
     assert by_idx(Q.check_image(build_tree(raster(spark, GOLDEN, 5, 4)), "brightness"))[6] == 4
     del ATTRIBUTES["brightness"]
+
+
+def test_both_ways_to_join_levels():
+    """Whole levels and single vertices give the same canonical parents."""
+    from arboretica.operators import tree as T
+
+    rng = np.random.default_rng(5)
+    for levels, w in ((2, 30), (7, 25), (200, 20)):
+        g = rng.integers(0, levels, w * w).astype(float)
+        i = np.arange(w * w)
+        p, q = T._grid_edges(i % w, i // w, np.zeros(w * w, np.int64), 8, False)
+        order = np.lexsort((i, g))
+        rank = np.empty(len(g), np.int64)
+        rank[order] = i
+        low, high = np.minimum(rank[p], rank[q]), np.maximum(rank[p], rank[q])
+        by = np.argsort(low, kind="stable")
+        value = g[order]
+        begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        assert np.array_equal(T._by_levels(value, begin, low[by], high[by]), T._by_vertices(value, begin, low[by], high[by]))
+
+
+def test_folds_along_paths(monkeypatch):
+    """Doubling equals a walk, for chains deeper and shallower than MANY_LEVELS."""
+    from arboretica.operators import paths
+
+    rng = np.random.default_rng(8)
+    up = np.array([-1] + [int(rng.integers(max(0, i - 4), i)) for i in range(1, 400)])
+    v, stop = rng.random(400), rng.random(400) < 0.1
+    best, sums = paths.fold_down(up, [v, v], [np.fmax, np.add], stop)
+    for i in range(400):
+        path = [i]
+        while up[path[-1]] >= 0 and not stop[path[-1]]:
+            path.append(up[path[-1]])
+        assert best[i] == v[path].max() and sums[i] == pytest.approx(v[path].sum())
+    whole = v.copy()
+    for i in range(399, 0, -1):
+        whole[up[i]] += whole[i]
+    for most in (10**6, 3):
+        monkeypatch.setattr(paths, "MANY_LEVELS", most)
+        assert paths.rise(up, {"v": v}, {"v": np.add})["v"] == pytest.approx(whole)
+
+
+def test_tiled_queries_equal_untiled_ones(spark):
+    """Every rule, dmp, csl and spectra, where nodes of an image never meet in a task."""
+    rng = np.random.default_rng(12)
+    pixels = raster(spark, rng.integers(0, 9, 22 * 17).tolist(), 22, 17).unionByName(raster(spark, rng.integers(0, 3, 9 * 4).tolist(), 9, 4, 1))
+    whole, tiled = build_tree(pixels, 8).persist(), build_tree_tiled(pixels, (5, 4), 8).persist()
+    assert table(whole) == table(tiled)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for rule in Q.RULES:
+        assert rows(Q.filter_image(whole, "elong", 1.7, rule)) == rows(Q.filter_image(tiled, "elong", 1.7, rule))
+    for ask in (lambda t: Q.dmp_image(t, "area", (3, 20), differential=True), lambda t: Q.csl_image(t, "area", (2, 6, 40)), lambda t: Q.pattern_spectrum(t, "flux", (5, 50))):
+        assert rows(ask(whole)) == rows(ask(tiled))
+    whole.unpersist()
+    tiled.unpersist()
+
+
+def test_many_levels(spark):
+    """A float raster of 10^5 levels in one chain: linear in nodes, and no row holds a path."""
+    n = 100_000
+    pixels = spark.range(n).selectExpr("0L AS image_id", "id AS idx", "CAST(id % 1000 AS INT) AS x", "CAST(id DIV 1000 AS INT) AS y", "0 AS z", "id / 7.0D AS g")
+    tree = build_tree(pixels).persist()
+    for rule in Q.RULES:
+        out = Q.filter_image(tree, "area", n // 2, rule)
+        assert out.where("idx = 70000").first().value == pytest.approx(n // 2 / 7)
+    assert Q.csl_image(tree, "area", (10, 1000)).count() == n
+    tree.unpersist()
