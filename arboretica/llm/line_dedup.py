@@ -1,12 +1,12 @@
 """Line deduplication: documents probe minimal perfect hash arrays of the frequent lines instead of joining lines.
 
-1. Each document yields the 128-bit hash of each distinct long line (``mapInArrow``); one grouped count with map-side
-   combination gives documents and the largest document id per hash.
+1. Each document yields the 128-bit hash of each distinct long line (``mapInArrow``); rows of one hash and document become
+   one, and a grouped count with map-side combination gives documents and the largest document id per hash.
 2. Hashes found in enough documents are dealt to shards; each shard's minimal perfect hash (levels of bit arrays, each key
    in the first level where nothing collides with it) indexes a fingerprint, a count and an owner array. The arrays lie in
    the cluster's shared folder, one Parquet file of blobs per shard group.
-3. A second scan of the documents probes the arrays: a batch's lines are sorted by shard and each shard is loaded through a
-   small cache, so a worker holds a bounded part of the arrays and a hot line costs no more than any other.
+3. A second scan of the documents probes the arrays: the lines of a slab of texts are sorted by shard and each shard is
+   loaded at most once a slab, so a worker holds a bounded part of the arrays and a hot line costs no more than any other.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WHITE, new_path, only
+from .shared import WHITE, new_path, only, release
 
 #: Keys of a shard at most, in the mean: about 1.2 MB of arrays.
 SHARD_KEYS = 50_000
-#: Bytes of shard arrays that a worker keeps.
-CACHE_BYTES = 64 << 20
+#: Bytes of shard arrays that a worker keeps, and of texts whose lines are probed together: shards are read as often as there
+#: are slabs, so larger slabs read less and hold more.
+CACHE_BYTES, SLAB_BYTES = 64 << 20, 64 << 20
 _GAMMA = 2.0
 
 
@@ -45,15 +46,18 @@ def _long_keys(lines: list[str], min_chars: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF)
+def _slot(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A place for each 128-bit key; both halves count at every level."""
+    salt = (0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF
+    x = hi ^ np.uint64(salt)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= lo + np.uint64(salt >> 1)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(32))) % np.uint64(size)).astype(np.int64)
 
 
 class PerfectHash:
-    """A minimal perfect hash of distinct 64-bit keys: level sizes and one bit array per level; ranks number the keys 0..n-1."""
+    """A minimal perfect hash of distinct 128-bit keys (hi, lo): one bit array per level; ranks number the keys 0..n-1."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -64,26 +68,27 @@ class PerfectHash:
         self.n = below
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, rest = [], np.asarray(keys, np.uint64)
-        while len(rest):
+    def build(cls, hi: np.ndarray, lo: np.ndarray) -> PerfectHash:
+        levels, hi, lo = [], np.asarray(hi, np.uint64), np.asarray(lo, np.uint64)
+        while len(hi):
             if len(levels) > 200:
                 raise ValueError("keys are not distinct")
-            size = max(8, int(_GAMMA * len(rest)))
-            at = _slot(rest, len(levels), size)
+            size = max(8, int(_GAMMA * len(hi)))
+            at = _slot(hi, lo, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
-            rest = rest[~alone[at]]
+            rest = ~alone[at]
+            hi, lo = hi[rest], lo[rest]
         return cls(levels)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The index of each key; for keys that were not built in, any index or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
+        out = np.full(len(hi), -1, np.int64)
+        todo = np.arange(len(hi))
         for k, bits in enumerate(self.levels):
             if not len(todo):
                 break
-            at = _slot(keys[todo], k, len(bits))
+            at = _slot(hi[todo], lo[todo], k, len(bits))
             hit = bits[at]
             out[todo[hit]] = self.ranks[k][at[hit]]
             todo = todo[~hit]
@@ -109,8 +114,8 @@ def _build_shard(table: pa.Table) -> pa.Table:
     """The arrays of one shard; rows (shard, hi, lo, n, owner)."""
     hi = table["hi"].to_numpy().view(np.uint64)
     lo = table["lo"].to_numpy().view(np.uint64)
-    mph = PerfectHash.build(hi)
-    at = mph(hi)
+    mph = PerfectHash.build(hi, lo)
+    at = mph(hi, lo)
     arrays = []
     for values, kind in ((lo, np.uint64), (np.minimum(table["n"].to_numpy(), 0xFFFFFFFF), np.uint32), (table["owner"].to_numpy(), np.int64)):
         a = np.zeros(mph.n, kind)
@@ -121,9 +126,9 @@ def _build_shard(table: pa.Table) -> pa.Table:
 
 
 class ShardReader:
-    """Reads shards from the shared folder, keeping at most CACHE_BYTES of them."""
+    """Reads shards from the shared folder, keeping at most ``budget`` bytes of them."""
 
-    def __init__(self, path: str, budget: int = CACHE_BYTES):
+    def __init__(self, path: str, budget: int):
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path)
         self.budget, self.held, self.bytes = budget, OrderedDict(), 0
 
@@ -146,8 +151,8 @@ class ShardReader:
         return got
 
 
-def _reader(path: str) -> ShardReader:
-    return only(("lines", path), lambda: ShardReader(path))
+def _reader(path: str, budget: int) -> ShardReader:
+    return only(("lines", path, budget), lambda: ShardReader(path, budget))
 
 
 def _pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -179,42 +184,66 @@ def _keys_of(min_chars: int):
     return run
 
 
-def _probe(path: str | None, shards: int, min_chars: int, min_docs: int):
+def _probe(path: str | None, shards: int, min_chars: int, min_docs: int, slab_bytes: int, cache_bytes: int):
     def run(batches):
-        reader = _reader(path) if path else None
+        reader = _reader(path, cache_bytes) if path else None
+        slab, size = [], 0
         for batch in batches:
             for part in _pieces(batch):
-                yield _probe_part(part, reader, shards, min_chars, min_docs)
+                slab.append((part, _probes_of(part, min_chars) if reader else None))
+                size += part.nbytes
+                if size >= slab_bytes:
+                    yield from _probed(slab, reader, shards, min_docs)
+                    slab, size = [], 0
+        yield from _probed(slab, reader, shards, min_docs)
     return run
 
 
-def _probe_part(part: pa.RecordBatch, reader, shards: int, min_chars: int, min_docs: int) -> pa.RecordBatch:
-    docs, lines = part.column("doc").to_pylist(), [(t or "").split("\n") for t in part.column("text").to_pylist()]
-    found = [(r, i, d) for r, own in enumerate(lines) for i, d in (_long_keys(own, min_chars) if reader else ())]
-    drop: list[set[int]] = [set() for _ in lines]
-    if found:
-        two = np.frombuffer(b"".join(d for _, _, d in found), np.uint64).reshape(-1, 2)
-        hi, lo = two[:, 0], two[:, 1]
-        ids = np.array([np.iinfo(np.int64).min if docs[r] is None else docs[r] for r, _, _ in found], np.int64)
-        shard = (hi.view(np.int64) % shards).astype(np.int64)
+def _probes_of(part: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every long line of a piece: its row, its place among the row's lines, and its hash as two words."""
+    rows, lines, digests = [], [], []
+    for r, text in enumerate(part.column("text").to_pylist()):
+        for i, digest in _long_keys(text.split("\n"), min_chars) if text else ():
+            rows.append(r)
+            lines.append(i)
+            digests.append(digest)
+    return np.array(rows, np.int32), np.array(lines, np.int32), np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
+def _probed(slab: list, reader, shards: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a slab without the lines that go: all their lines are probed shard by shard."""
+    gone = [[] for _ in slab]
+    if reader and slab:
+        piece = np.repeat(np.arange(len(slab)), [len(p[0]) for _, p in slab])
+        row, line, key = (np.concatenate(c) for c in zip(*(p for _, p in slab)))
+        least = np.iinfo(np.int64).min
+        ids = [np.array([least if d is None else d for d in part.column("doc").to_pylist()], np.int64) for part, _ in slab]
+        doc = np.concatenate([own[p[0]] for own, (_, p) in zip(ids, slab)]) if len(row) else np.zeros(0, np.int64)
+        hi, lo = np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])
+        shard = hi.view(np.int64) % shards
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for own in np.split(order, cuts):
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
             arrays = reader(int(shard[own[0]]))
             if arrays is None:
                 continue
             mph, prints, counts, owners = arrays
-            at = mph(hi[own])
-            ok = at >= 0
-            own, at = own[ok], at[ok]
-            hit = (prints[at] == lo[own]) & (counts[at] >= min_docs) & (owners[at] != ids[own])
-            for k in own[hit]:
-                drop[found[k][0]].add(found[k][1])
-    kept = ["\n".join(x for i, x in enumerate(own) if i not in gone) if gone else "\n".join(own) for own, gone in zip(lines, drop)]
-    arrays = [c for n, c in zip(part.schema.names, part.columns) if n != "text"]
-    names = [n for n in part.schema.names if n != "text"] + ["kept_text", "n_lines", "n_dropped"]
-    arrays += [pa.array(kept, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in drop], pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names)
+            at = mph(hi[own], lo[own])
+            own, at = own[at >= 0], at[at >= 0]
+            own = own[(prints[at] == lo[own]) & (counts[at] >= min_docs) & (owners[at] != doc[own])]
+            for p in np.unique(piece[own]):
+                mine = own[piece[own] == p]
+                gone[p].append((row[mine], line[mine]))
+    for (part, _), found in zip(slab, gone):
+        drop: dict[int, set[int]] = {}
+        for rows, lines in found:
+            for r, i in zip(rows.tolist(), lines.tolist()):
+                drop.setdefault(r, set()).add(i)
+        texts = part.column("text").to_pylist()
+        kept = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop[r]) if r in drop else t or "" for r, t in enumerate(texts)]
+        arrays = [c for n, c in zip(part.schema.names, part.columns) if n != "text"]
+        names = [n for n in part.schema.names if n != "text"] + ["kept_text", "n_lines", "n_dropped"]
+        arrays += [pa.array(kept, pa.string()), pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([len(drop.get(r, ())) for r in range(len(texts))], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -230,6 +259,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = (
         source.mapInArrow(_keys_of(min_chars), "hi long, lo long, doc long")
+        .distinct()
         .groupBy("hi", "lo")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("doc", F.lit(-(2**63)))).alias("owner"))
         .where(F.col("n") >= min_docs)
@@ -238,6 +268,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts.write.parquet(path + "-keys")
     keys = spark.read.schema("hi long, lo long, n long, owner long").parquet(path + "-keys")
     total = keys.count()
+    release(spark)
     shards = max(1, -(-total // SHARD_KEYS))
     if total:
         sharded = keys.withColumn("shard", F.pmod("hi", F.lit(shards)))
@@ -246,5 +277,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     extra = docs.select(*carry).schema.fields
     schema = ", ".join(["doc long", *(f"`__carried_{f.name}` {f.dataType.simpleString()}" for f in extra), "kept_text string, n_lines long, n_dropped long"])
     carried = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__carried_{c}") for c in carry])
-    out = carried.mapInArrow(_probe(path if total else None, shards, min_chars, min_docs), schema)
+    out = carried.mapInArrow(_probe(path if total else None, shards, min_chars, min_docs, SLAB_BYTES, CACHE_BYTES), schema)
     return out.select("doc", *[F.col(f"__carried_{c}").alias(c) for c in carry], "kept_text", "n_lines", "n_dropped")
