@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -45,12 +46,27 @@ def _part_marks(raw: bytes) -> bytes:
     return out.tobytes()
 
 
+# The normaliser and the splitter of the files whose words stand apart.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def words_stand_apart(spec: dict) -> bool:
+    """Whether a tokenizers file lower-cases and drops white space as WordEncoder's way of cutting words takes for granted."""
+    normaliser, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = splitter.get("pretokenizers") or [{}]
+    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return normaliser.get("normalizers") == _NORMALISER and steps[0] == _SPLITTER and byte_level and not spec.get("truncation") and not spec.get("padding")
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file that lower-cases, and parts words at white space and at marks other than the apostrophe.
+    """Ids of whole texts by a tokenizers file, as the library gives them without adding special tokens.
 
-    A text is cut at ASCII white space, which such a tokenizer drops, and A-Z are lower-cased, as it does; each distinct
-    word is encoded by the library once while it stays in the cache, with marks behind it as a word of their own. A text's ids are its words' ids in order. ``__call__`` gives them as little-endian
-    unsigned 32-bit bytes.
+    Where the file lower-cases, and parts words at white space and at marks other than the apostrophe (``words_stand_apart``),
+    a text is cut at ASCII white space and A-Z are lower-cased; each distinct word is encoded by the library once while it
+    stays in the cache, with marks behind it as a word of their own, and a text's ids are its words' ids in order. Texts that
+    hold the string of a special token, in whatever case, and all texts of other files, go to the library whole. ``__call__`` gives ids as
+    little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -61,7 +77,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task is one thread; the library's own threads only spin
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        self.apart = words_stand_apart(spec)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", ())]
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
@@ -88,25 +106,36 @@ class WordEncoder:
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (not split or size < 2 << 20):
-                raw = _part_marks((texts[at] or b"").lower())
-                split.append(raw.split())
+                raw = texts[at] or b""
                 size += len(raw)
                 at += 1
-            self.learn(set().union(*split))
+                low = raw.lower()
+                if self.apart and not any(t in low for t in self.added):
+                    split.append(_part_marks(low).split())
+                else:
+                    split.append(raw)
+            self.learn(set().union(*(x for x in split if isinstance(x, list))))
             get = self.cache.__getitem__
             for words in split:
-                yield b"".join(map(get, words))
+                if isinstance(words, list):
+                    yield b"".join(map(get, words))
+                else:
+                    yield array("I", self.tokenizer.encode(words.decode(), add_special_tokens=False).ids).tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
     return only(("words", path), lambda: WordEncoder(path))
 
 
+#: Numbers that pieces are dealt round by in the order of a task, so that repeated rows do not meet in one group.
+_DEALS = 1 << 16
+
+
 def _cut(path: str, length: int, end_id: int | None, with_ids: bool):
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path)
+        encode, deal = encoder(path), 0
         for batch in batches:
             out = []
             docs = batch.column("doc").to_pylist()
@@ -114,7 +143,8 @@ def _cut(path: str, length: int, end_id: int | None, with_ids: bool):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *((part,) if with_ids else ())))
+                    deal += 1
+                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), deal % _DEALS, *((part,) if with_ids else ())))
                 if with_ids and len(out) > 500:
                     yield _piece_batch(out, with_ids)
                     out = []
@@ -125,23 +155,24 @@ def _cut(path: str, length: int, end_id: int | None, with_ids: bool):
 
 
 def _piece_batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["doc", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["doc", "piece", "start", "length", "ids_crc32", "deal"]
     cols = list(zip(*rows))
     arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
     if with_ids:
-        arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[5]], pa.list_(pa.int32())))
+        arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[6]], pa.list_(pa.int32())))
         names = [*names, "ids"]
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 4096, end_id: int | None = 1, with_ids: bool = False) -> DataFrame:
-    """Token pieces of whole documents: rows ``(doc, piece, start, length, ids_crc32[, ids])``.
+    """Token pieces of whole documents: rows ``(doc, piece, start, length, ids_crc32, deal[, ids])``; ``deal`` is a small number
+    that differs between neighbouring rows.
 
     The end id closes each document, so null and empty texts are one piece of that id. Documents of up to ``length`` ids
     stay whole; longer ones are cut at every ``length`` ids. Repeated rows and null ids give pieces row by row.
     """
-    columns = "doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    columns = "doc long, piece int, start long, length long, ids_crc32 long, deal int" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(_cut(tokenizer_path, length, end_id, with_ids), columns)
 
 
@@ -189,21 +220,21 @@ def _pack(capacity: int):
         table = table.sort_by([(c, "ascending") for c in ("length", "doc", "piece", "start", "ids_crc32")])
         bins, offsets = pack_lengths(table["length"].to_numpy(), capacity)
         base = table["__group"][0].as_py() << 36 if table.num_rows else 0
-        return table.drop_columns(["__group"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
+        return table.drop_columns(["__group", "deal"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
     return run
 
 
 def pack_pieces(pieces: DataFrame, *, capacity: int = 4096, group_pieces: int = GROUP_PIECES, total: int | None = None) -> DataFrame:
-    """Places of pieces: adds ``sequence_id`` and ``offset`` to rows ``(doc, piece, start, length, ids_crc32)``.
+    """Places of pieces: ``sequence_id`` and ``offset`` for rows ``(doc, piece, start, length, ids_crc32, deal)``.
 
     The pieces are dealt by hash to groups of about ``group_pieces`` and each group is packed apart; a group's few
-    half-empty bins are what splitting costs, and it lets any number of tasks work. Only the narrow rows move.
+    half-empty bins are what splitting costs, and it lets any number of tasks work. Only the narrow rows move. ``deal``,
+    which must be a written value, keeps repeated rows apart; it is not returned.
     """
     total = pieces.count() if total is None else total
     groups = max(1, round(total / group_pieces))
-    names = pieces.columns
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(groups)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc", "piece", "ids_crc32", "deal"), F.lit(groups)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "deal")
     return dealt.groupBy("__group").applyInArrow(_pack(capacity), f"{schema}, sequence_id long, offset long")
 
 
