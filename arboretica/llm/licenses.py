@@ -47,8 +47,14 @@ FREEDOM = {
     "apache": 0.9, "apache-2.0": 0.9, "zlib": 0.95, "cc-by": 0.85, "cc-by-4.0": 0.85, "mpl": 0.7, "mpl-2.0": 0.7, "epl": 0.65, "epl-2.0": 0.65,
     "lgpl": 0.6, "lgpl-2.1-only": 0.6, "lgpl-2.1-or-later": 0.6, "lgpl-3.0-only": 0.6, "cc-by-sa": 0.6, "cc-by-sa-4.0": 0.6,
     "gpl": 0.5, "gpl-2.0-only": 0.5, "gpl-2.0-or-later": 0.5, "gpl-3.0-only": 0.5, "gpl-3.0-or-later": 0.5, "agpl": 0.4, "agpl-3.0-only": 0.4,
-    "cc-by-nd": 0.3, "cc-by-nc": 0.25, "cc-by-nc-4.0": 0.25, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.15, "noncommercial": 0.2, "reserved": 0.0, "proprietary": 0.0,
+    "cc-by-nd": 0.3, "cc-by-nc": 0.25, "cc-by-nc-4.0": 0.25, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.15, "noncommercial": 0.2, "reserved": 0.05, "proprietary": 0.05,
+    "0bsd": 1.0, "afl-3.0": 0.9, "apache-1.1": 0.9, "artistic-2.0": 0.8, "blueoak-1.0.0": 0.95, "bsd-4-clause": 0.9, "bsl-1.0": 0.95, "cc-by-3.0": 0.85, "cc-by-nc-nd-4.0": 0.15,
+    "cc-by-nc-sa-4.0": 0.2, "cc-by-nd-4.0": 0.3, "cc-by-sa-3.0": 0.6, "cddl-1.0": 0.65, "cddl-1.1": 0.65, "cecill-2.1": 0.5, "cpl-1.0": 0.65, "ecl-2.0": 0.9, "epl-1.0": 0.65,
+    "eupl-1.1": 0.55, "eupl-1.2": 0.55, "gfdl-1.3": 0.45, "gpl-1.0": 0.5, "gpl-2.0": 0.5, "gpl-3.0": 0.5, "hpnd": 0.95, "ipl-1.0": 0.65, "lgpl-2.0": 0.6, "lgpl-2.1": 0.6, "lgpl-3.0": 0.6,
+    "lgpl-3.0-or-later": 0.6, "agpl-3.0": 0.4, "agpl-3.0-or-later": 0.4, "mit-0": 1.0, "mpl-1.1": 0.7, "ms-pl": 0.8, "ncsa": 0.95, "ofl-1.1": 0.8, "openssl": 0.85, "osl-3.0": 0.5,
+    "php-3.01": 0.9, "postgresql": 0.95, "psf-2.0": 0.95, "python-2.0": 0.95, "ruby": 0.8, "sspl-1.0": 0.2, "unicode-3.0": 0.95, "upl-1.0": 0.95, "vim": 0.8, "w3c": 0.95, "wtfpl": 1.0, "x11": 0.95,
 }
+#: How free a licence counts that an expression names by its own reference (licenseref-...).
 UNKNOWN = 0.1
 TAGS = ("spdx-license-identifier:", "license-expression:")
 
@@ -58,11 +64,17 @@ _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:_-]*")
 _POWER = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> tuple[list[str], float] | None:
+def known(name: str) -> bool:
+    """Whether a word is a licence's identifier: one of FREEDOM, an older one with ``+``, or an own reference."""
+    return name.rstrip("+") in FREEDOM or name.startswith(("licenseref-", "documentref-"))
+
+
+def parse_expression(text: str, position: int = 0, end: int | None = None) -> tuple[list[str], float] | None:
     """(identifiers, freedom) of an SPDX-like expression by the shunting-yard algorithm, or None if it starts with none.
 
     ``or`` lets one choose (the freer side), ``and`` binds (the stricter side), ``with`` adds an exception to a licence
-    (half way to free). Operators rank with > and > or; parsing ends at the first token that cannot follow.
+    (half way to free). Operators rank with > and > or; parsing ends at ``end`` and at the first token that cannot follow, as
+    a word that is no identifier where a licence should stand. Linear in the expression.
     """
     out: list[float] = []
     stack: list[str] = []
@@ -72,19 +84,21 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
         op, b, a = stack.pop(), out.pop(), out.pop()
         out.append(max(a, b) if op == "or" else min(a, b) if op == "and" else a + (1 - a) / 2 if a > 0 else 0.0)
 
-    want, position = True, 0
-    while (m := _TOKEN.match(text, position)) is not None:
+    want, nested, end = True, 0, len(text) if end is None else end
+    while (m := _TOKEN.match(text, position, end)) is not None:
         token = m.group()
         if token == "(":
             if not want:
                 break
             stack.append(token)
+            nested += 1
         elif token == ")":
-            if want or "(" not in stack:
+            if want or not nested:
                 break
             while stack[-1] != "(":
                 apply()
             stack.pop()
+            nested -= 1
         elif token in _POWER:
             if want:
                 break
@@ -97,11 +111,13 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
                 break
             name = token.rstrip(".:-")
             if not (stack and stack[-1] == "with"):
+                if not known(name):
+                    break
                 names.append(name)
             out.append(FREEDOM.get(name.rstrip("+"), UNKNOWN))
             want = False
         position = m.end()
-        while position < len(text) and text[position] in " \t":
+        while position < end and text[position] in " \t":
             position += 1
     if want and stack and stack[-1] in _POWER:
         stack.pop()  # an operator at the end has no right side
@@ -154,9 +170,14 @@ class Scanner:
             spans.append((number, label))
         if text and ":" in text:
             low = text.encode().lower().decode()
-            for end, _ in self.tags.iter(low):
-                line = low[end + 1 : low.find("\n", end + 1) if low.find("\n", end + 1) >= 0 else len(low)]
-                if (got := parse_expression(line.lstrip(" \t"))) is not None:
+            tags = [(last + 1 - len(tag), last + 1) for last, tag in self.tags.iter(low)]
+            for (_, begin), (until, _) in zip(tags, [*tags[1:], (len(low), 0)]):
+                # an expression ends with its line, and before the next tag
+                line = low.find("\n", begin, until)
+                until = line if line >= 0 else until
+                while begin < until and low[begin] in " \t":
+                    begin += 1
+                if (got := parse_expression(low, begin, until)) is not None:
                     labels.update(got[0])
                     scores.append(got[1])
         return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels | base)), min(scores) if scores else 0.0, spans
@@ -180,8 +201,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Words are runs of ASCII letters and digits and of all other code points from U+0080, A-Z lower-cased. ``n_base`` counts
     every place where a base phrase's words stand in a row, overlapping ones too; ``first_word`` and ``last_word`` are the
     smallest and largest word numbers of such places, else null. ``labels`` are those of the base and the other phrases and
-    the identifiers of tagged expressions; ``score`` is the least freedom found (0 where nothing is found). Null and empty
-    texts have no words. One pass over whole texts, row by row; repeated rows and null ids stay; other columns are not read.
+    the identifiers of tagged expressions; ``score`` is the least freedom found, and 0 only where nothing is found. Null and
+    empty texts have no words. One pass over whole texts, row by row; repeated rows and null ids stay; other columns are not read.
     """
     key = (tuple(base.items()), tuple(more.items()))
     schema = pa.schema(_FIELDS)
