@@ -6,7 +6,6 @@ import base64
 import functools
 import hashlib
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +21,21 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE = range(6)
 CACHE_SLICES = 400_000
 
 
+def _members(pattern: str, points: str) -> np.ndarray:
+    """The code points of ``points`` that a class of the library's patterns holds: an encoding of single bytes keeps just them."""
+    import tiktoken
+
+    keeps = tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return np.frombuffer(bytes(keeps.encode_ordinary(points)).decode().encode("utf-32-le"), np.uint32)
+
+
 @functools.cache
 def classes() -> np.ndarray:
-    """The class of every code point, by its Unicode category; made once a worker."""
+    """The class of every code point, by the Unicode tables of the library's own patterns; made once a worker."""
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    categories = np.array([unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)])
-    out[categories == "L"] = LETTER
-    out[categories == "N"] = NUMBER
-    # The code points of the property White_Space
-    for first, last in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
-        out[first : last + 1] = BLANK
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        out[_members(pattern, every)] = kind
     out[0x20] = SPACE
     out[0x27] = QUOTE
     return out
