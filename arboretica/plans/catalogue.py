@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +12,7 @@ from ..functions.attributes import ATTRIBUTES
 from ..functions.preprocess import extrema, preprocess
 from ..operators import queries as Q
 from ..operators.tree import Tree, build_tree, build_tree_tiled
-from ..sources import rasters
+from ..sources import formats, rasters, sinks
 
 CSL_LAMBDAS = (3, 10, 40)
 #: A threshold for each attribute; those of irrational attributes are not attained.
@@ -271,3 +273,71 @@ _register("vector_images_filter_area", lambda s, d: _values(Q.filter_image(_tree
 _register("vector_images_pattern_area", lambda s, d: Q.pattern_spectrum(_tree(vector_images)(s, d), "area", (4, 16)), chain_sql(VECTOR_SQL).rstrip() + ", " + _NODES.format(cols="") + f""", bins AS (SELECT image_id, k, lam FROM (SELECT DISTINCT image_id FROM px), (VALUES (0, CAST(0 AS DOUBLE)), (1, CAST(4 AS DOUBLE)), (2, CAST(16 AS DOUBLE))) b(k, lam))
 SELECT CAST(image_id AS BIGINT) AS image_id, k, lam AS "lambda", coalesce(sum(mass), 0) AS spectrum FROM bins LEFT JOIN nodes ON im = image_id AND {_bucket_sql('area', (4, 16))} = k GROUP BY 1, 2, 3""")
 _register("passthrough", lambda s, d: _values(lineitem_raster(s, d).withColumn("value", F.col("g"))), f"WITH {LINEITEM_SQL} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(idx AS BIGINT) AS idx, g AS value FROM px0")
+
+# ---- parameters that the rows above leave at their defaults
+
+_PD = (2.0, 1.0, 3.0)
+_register("pixel_dim_filter_rectdiag", lambda s, d: _values(Q.filter_image(LI(s, d), "rectdiag", 30, pixel_dim=_PD)), LI_SQL + _value_sql(_filter_sql("(4 * xext * xext + yext * yext + 9 * zext * zext)", 30)))
+_register("pixel_dim_check_inertiatrace", lambda s, d: _values(Q.check_image(LI(s, d), "inertiatrace", _PD), 5), LI_SQL.replace("mom AS (SELECT *, ", "mom AS (SELECT *, 6 * (4 * (sxx-CAST(sx AS DOUBLE)*sx/a+a/12) + (syy-CAST(sy AS DOUBLE)*sy/a+a/12)) AS scaled, ").replace("node AS (SELECT im, h, c, node, ", "node AS (SELECT im, h, c, node, scaled, ") + _value_sql("SELECT im, p, arg_max(scaled, h) AS value FROM ch GROUP BY 1, 2").replace(", 6) AS value", ", 5) AS value"))
+
+
+def _spectrum_sql(lams, low: str) -> str:
+    nodes = ", " + _NODES.format(cols="").replace("coalesce(ph, 0)", f"coalesce(ph, {low})")
+    return LI_SQL.rstrip() + nodes + f""", bins AS (SELECT image_id, k, lam FROM (SELECT DISTINCT image_id FROM px), (VALUES (0, CAST(0 AS DOUBLE)){''.join(f', ({k + 1}, CAST({lam} AS DOUBLE))' for k, lam in enumerate(lams))}) b(k, lam))
+SELECT CAST(image_id AS BIGINT) AS image_id, k, lam AS "lambda", coalesce(sum(mass), 0) AS spectrum FROM bins LEFT JOIN nodes ON im = image_id AND {_bucket_sql('area', lams)} = k GROUP BY 1, 2, 3"""
+
+
+_register("imscale_pattern_area", lambda s, d: Q.pattern_spectrum(LI(s, d), "area", (4, 8, 20, 100), imscale=2.0), _spectrum_sql((2.0, 4.0, 10.0, 50.0), "0"))
+_register("background_pattern_area", lambda s, d: Q.pattern_spectrum(LI(s, d), "area", (2, 4, 10, 50), include_background=False), _spectrum_sql((2, 4, 10, 50), "h"))
+_register("dmp_differential_area", lambda s, d: Q.dmp_image(LI(s, d), "area", _DMP, differential=True).select("image_id", "idx", "k", "lambda", "value"), "SELECT image_id, idx, k, \"lambda\", value - coalesce(lag(value) OVER (PARTITION BY image_id, idx ORDER BY k), 0) AS value FROM (" + ORACLE_SQL["dmp_area"] + ")")
+_register("imscale_csl_area", lambda s, d: Q.csl_image(LI(s, d), "area", (6, 20, 80), imscale=2.0), ORACLE_SQL["csl_area"])
+
+_CSL_MIN_SQL = chain_sql(LINEITEM_SQL, 4, _INVERT).rstrip() + _CSL_SQL
+_MIN = _tree(lineitem_raster, 4, "None", "min")
+_register("csl_area_min_tree", lambda s, d: Q.csl_image(_MIN(s, d), "area", CSL_LAMBDAS), _CSL_MIN_SQL)
+
+
+def _csl_both(spark, sf):
+    gmax = extrema(lineitem_raster(spark, sf)).select("image_id", "gmax")
+    both = Q.csl_combine(Q.csl_image(LI(spark, sf), "area", CSL_LAMBDAS), Q.csl_image(_MIN(spark, sf), "area", CSL_LAMBDAS).join(gmax, "image_id"), len(CSL_LAMBDAS) + 1, F.col("gmax"))
+    return both.withColumn("scale", F.col("scale").cast("int"))
+
+
+_register("csl_combine_area", _csl_both, f"""SELECT o.image_id, o.idx, greatest(o.contrast, c.contrast) AS contrast,
+  CAST(CASE WHEN o.contrast > c.contrast THEN o.scale WHEN o.contrast < c.contrast THEN {len(CSL_LAMBDAS) + 2} + c.scale ELSE 0 END AS INTEGER) AS scale,
+  CASE WHEN o.contrast < c.contrast THEN (SELECT max(g) FROM (WITH {LINEITEM_SQL} SELECT g FROM px0)) - c.luminance ELSE o.luminance END AS luminance
+FROM ({ORACLE_SQL['csl_area']}) o JOIN ({_CSL_MIN_SQL}) c ON o.image_id = c.image_id AND o.idx = c.idx""")
+
+for _mode, _sql in (("sqrt", "sqrt(max(g) OVER () - g)"), ("exp", "exp(max(g) OVER () - g)"), ("ubyte", "255 - (g - min(g) OVER ()) * 255.0::DOUBLE / (max(g) OVER () - min(g) OVER ())")):
+    _register(f"min_tree_prep_{_mode}", lambda s, d, m=_mode: _values(Q.filter_image(_tree(order_raster, 4, m, "min")(s, d), "area", 6), 3), chain_sql(ORDER_SQL, 4, f"SELECT image_id, idx, x, y, z, {_sql} AS g FROM px0") + _value_sql(_filter_sql("area", 6)).replace(", 6) AS value", ", 3) AS value"))
+
+
+# ---- files: what a run writes is read back
+
+def _shared_folder(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arboretica-")).rstrip("/") + f"/files-{uuid.uuid4().hex}"
+
+
+def _written_and_read(spark, sf, ending: str, windows: bool = False) -> DataFrame:
+    tree, pixels = LI(spark, sf), lineitem_raster(spark, sf)
+    path = f"{_shared_folder(spark)}/out-{{image}}.{ending}"
+    sinks.write_rasters(Q.filter_image(tree, "area", 10), sinks.extents(pixels), path, sinks.FORMATS[ending]).collect()
+    read = formats.read_windows if windows else formats.read_rasters
+    rows = read(spark, path.replace("{image}", "0"))
+    return _values(rows.select(F.lit(0).cast("long").alias("image_id"), "idx", F.col("g").alias("value")))
+
+
+for _ending, _windows in (("pgm", False), ("fits", False), ("nii", False), ("fits", True), ("pgm", True)):
+    _register(f"file_{_ending}{'_slabs' if _windows else ''}_filter_area", lambda s, d, e=_ending, w=_windows: _written_and_read(s, d, e, w), LI_SQL + _value_sql(_filter_sql("area", 10)))
+
+
+def _volume_file(spark, sf):
+    """A volume as FITS, and a window of it."""
+    pixels = event_volume(spark, sf)
+    path = f"{_shared_folder(spark)}/volume.fits"
+    sinks.write_rasters(pixels.withColumn("value", F.col("g")), sinks.extents(pixels), path).collect()
+    rows = formats.read_windows(spark, path, ((2, 7), (1, 5), (1, 3)))
+    return rows.select(F.lit(0).cast("long").alias("image_id"), "idx", F.col("g").alias("value"))
+
+
+_register("file_fits_window_3d", _volume_file, f"WITH {VOLUME_SQL} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(idx AS BIGINT) AS idx, g AS value FROM px0 WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 2")

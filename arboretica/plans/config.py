@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import sys
+import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.attributes import attribute
-from ..functions.preprocess import MODES, preprocess
+from ..functions.preprocess import MODES, extrema, preprocess
 from ..operators import queries as Q
 from ..operators.tree import CONNECTIVITIES, build_tree, build_tree_tiled
-from ..sources import formats, rasters
+from ..sources import formats, rasters, sinks
 
 OPERATIONS = ("filter", "extract", "dmp", "csl", "pattern", "pattern2D", "tree", "check")
 
@@ -26,6 +28,8 @@ class Run:
     hdf5_dataset: str = "data"
     image_options: str = "grayscale"
     save_output: int = 1
+    save_tree: int = 0
+    interactive: int = 0
     tile_overlap: int = 0
     mpi_grid: tuple[int, int, int] = (1, 1, 1)
     pixel_dim: tuple[float, float, float] = (1.0, 1.0, 1.0)
@@ -38,6 +42,11 @@ class Run:
     operation: tuple[tuple, ...] = field(default=())
 
 
+log = logging.getLogger("arboretica")
+#: Levels of ``verbosity``; TIMING stands between information and debugging.
+TIMING = 15
+LEVELS = {"OFF": 100, "ERROR": logging.ERROR, "WARN": logging.WARNING, "INFO": logging.INFO, "TIMING": TIMING, "DEBUG": logging.DEBUG, "TRACE": 1, "ALL": 1}
+
 _TOKEN = re.compile(r'\s*(?:#[^\n]*|//[^\n]*|/\*.*?\*/|("(?:[^"\\]|\\.)*")|([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|([A-Za-z_][\w-]*)|([=;:,()\[\]{}]))', re.S)
 
 
@@ -188,11 +197,62 @@ def read_pixels(spark: SparkSession, run: Run) -> DataFrame:
     return formats.read_rasters(spark, name, run.hdf5_dataset)
 
 
+def _written(run: Run, op: tuple, df: DataFrame, sizes: DataFrame, many: bool) -> None:
+    """Write an operation's result under ``output_name``: ``<prefix>_<operation>_...`` in the format of its ending, rasters as
+    files of that format, tables as text; with the ending ``parquet``, or none, everything as Parquet."""
+    prefix, dot, ending = run.output_name.rpartition(".")
+    prefix, ending = (prefix, ending.lower()) if dot and ending.lower() in (*sinks.FORMATS, "parquet") else (run.output_name, "parquet")
+    prefix += "-{image}" if many and ending != "parquet" else ""
+    name, a, *rest = op or ("", None)
+    short = attribute(a).name if op else ""
+    stem = {"": "", "csl": "", "tree": "_tree", "pattern": f"_PS_1D_{short}", "dmp": f"_dmp_{run.tree_type}_{short}"}.get(name, f"_{name}_{short}")
+    stem += f"_{float(rest[0]):.3f}" if name in ("filter", "extract") else ""
+    if name == "pattern2D":
+        stem = f"_PS_2D_{short}_{attribute(rest[2]).name}"
+    if ending == "parquet":
+        df.write.mode("overwrite").parquet(prefix + (stem or (f"_csl_{short}" if name == "csl" else "")))
+        return
+    fmt = sinks.FORMATS[ending]
+    if name in ("pattern", "pattern2D"):
+        files = [sinks.write_spectrum(df, f"{prefix}{stem}.txt")]
+    elif name == "tree":
+        files = [sinks.write_tree(df, f"{prefix}{stem}.txt")]
+    elif name == "csl":
+        scale = float(rest[1]) if len(rest) > 1 else 1.0
+        files = [sinks.write_rasters(df.withColumn("value", F.col(c)), sizes, f"{prefix}-{c[0].upper()}_{short}_{scale:.2f}.{ending}", fmt, dataset=run.hdf5_dataset) for c in ("contrast", "scale", "luminance")]
+    elif name == "dmp":
+        planes = df.agg(F.max("k")).first()[0] or 1
+        files = [sinks.write_rasters(df, sizes, f"{prefix}{stem}.fits", "fits", floats=True, planes=int(planes))]
+    elif name == "check":
+        files = [sinks.write_rasters(df, sizes, f"{prefix}{stem}.fits", "fits", floats=True)]
+    else:
+        files = [sinks.write_rasters(df, sizes, f"{prefix}{stem}.{ending}", fmt, dataset=run.hdf5_dataset)]
+    for one in files:
+        for r in one.collect():  # a row a file
+            log.info("wrote %s, %d bytes", r.path, r.bytes)
+
+
 def execute(spark: SparkSession, run: Run, pixels: DataFrame | None = None) -> list[tuple[tuple, DataFrame]]:
-    """(operation, result) for each operation; they share one persisted tree. No operation: the pixels themselves."""
+    """(operation, result) for each operation; they share one persisted tree. No operation: the pixels themselves, in the
+    output's format. Results are written if ``save_output`` and ``output_name`` say so, and the tree with ``save_tree``."""
+    began = time.time()
+
+    def phase(what: str) -> None:
+        nonlocal began
+        log.log(TIMING, "%s: %.3f s", what, time.time() - began)
+        began = time.time()
+
+    log.setLevel(LEVELS.get(run.verbosity.upper(), logging.INFO))
     pixels = read_pixels(spark, run) if pixels is None else pixels
     ready = preprocess(pixels, run.preprocessing, run.tree_type)
+    save = bool(run.save_output and run.output_name)
+    sizes = sinks.extents(ready) if save else None
+    many = save and sinks.several_images(ready)
+    phase("input")
     if not run.operation:
+        if save:
+            _written(run, (), ready.withColumn("value", F.col("g")), sizes, many)
+            phase("output")
         return [((), ready)]
     if max(run.mpi_grid) > 1:
         size = ready.agg(F.max("x"), F.max("y"), F.max("z")).first()
@@ -200,14 +260,15 @@ def execute(spark: SparkSession, run: Run, pixels: DataFrame | None = None) -> l
         tree = build_tree_tiled(ready, tile, run.pixel_connectivity).persist()
     else:
         tree = build_tree(ready, run.pixel_connectivity).persist()
+    gmax = extrema(ready.withColumn("g", F.col("gmax"))).select("image_id", "gmax") if run.tree_type == "min" else None
     pd, back = run.pixel_dim, bool(run.include_background)
     out = []
     for op in run.operation:
         name, a, *rest = op
         if name == "filter":
             df = Q.filter_image(tree, a, rest[0], rest[1] if len(rest) > 1 else 0, pd)
-            if run.tree_type == "min":
-                df = df.join(ready.select("image_id", "gmax").distinct(), "image_id").withColumn("value", F.col("gmax") - F.col("value")).drop("gmax")
+            if gmax is not None:
+                df = df.join(gmax, "image_id").withColumn("value", F.col("gmax") - F.col("value")).drop("gmax")
         elif name == "extract":
             df = Q.extract_image(tree, a, rest[0], rest[1] if len(rest) > 1 else 0, pd)
         elif name == "dmp":
@@ -223,17 +284,36 @@ def execute(spark: SparkSession, run: Run, pixels: DataFrame | None = None) -> l
             df = Q.tree_table(tree, a, int(size[0]) + 1, int(size[1]) + 1, pd)
         else:
             df = Q.check_image(tree, a, pd)
-        if run.save_output and run.output_name:
-            df.write.mode("overwrite").parquet(f"{run.output_name}_{name}_{attribute(a).name}" + (f"_{float(rest[0]):.3f}" if name in ("filter", "extract") else ""))
+        if save:
+            _written(run, op, df, sizes, many)
+        phase(f"{name} {attribute(a).name}")
         out.append((op, df))
+    if run.save_tree and run.output_name:
+        base = run.output_name.rpartition(".")[0] or run.output_name
+        tree.nodes.write.mode("overwrite").parquet(f"{base}_nodes")
+        tree.zones.write.mode("overwrite").parquet(f"{base}_zones")
+        phase("tree")
     return out
 
 
 def main(args: list[str] | None = None) -> int:
+    """Run what flags and configuration say; with ``interactive``, then read further operations from the standard input."""
     run = parse_args(sys.argv[1:] if args is None else args)
-    spark = SparkSession.builder.appName("arboretica").getOrCreate()
+    logging.basicConfig(stream=sys.stderr, format="%(levelname)s %(message)s")
+    builder = SparkSession.builder.appName("arboretica")
+    if run.threads > 1 and SparkSession.getActiveSession() is None:
+        builder = builder.config("spark.default.parallelism", run.threads)
+    spark = builder.getOrCreate()
     for op, df in execute(spark, run):
         print(op, df.count(), "rows")
+    for line in sys.stdin if run.interactive else ():
+        if not line.strip():
+            break
+        try:
+            for op, df in execute(spark, make_run(run, operation=parse_value(line.strip()))):
+                print(op, df.count(), "rows")
+        except ValueError as e:
+            print(e, file=sys.stderr)
     return 0
 
 
