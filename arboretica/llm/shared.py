@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: [\x20\x09-\x0D].
@@ -23,10 +27,25 @@ def only(key, make):
     return _HELD[key]
 
 
+def tidy(run):
+    """A task's function over batches that gives memory back to the system when it ends: Spark keeps its Python workers, and
+    what their allocators keep is lost to the executor's other tasks."""
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (local mode)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a new one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="arboretica-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +70,15 @@ def drop_kept(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what has been written and is no longer referred to.
+
+    It does so when the driver's garbage collector finds the frames; between phases that each move as much as the input, that
+    may be too late for the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): rows ``(node, component)``, component the smallest node reachable.
 

@@ -25,16 +25,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, drop_kept, keep, only
+from .shared import components, drop_kept, keep, only, release, tidy
 
 #: Fingerprints of a vantage shard in the mean, and rows beyond which a shard is split into pairs of chunks.
 SHARD_ROWS, LARGE_SHARD = 2_000, 20_000
 #: Fingerprints of a sampled shard in the mean; doubtful partners of a row that leave a shard in the first round, and how
 #: many times as many in each round after it.
 SAMPLED_ROWS, ROUND_PARTNERS, ROUND_GROWTH = 1_000, 4, 8
-#: Texts of the sample that finds frequent shingles, at least, and shingles that are listed as frequent; sets beyond which
-#: a shingle's rows are told their components; 64-bit words of parities of a set.
-SAMPLE_TEXTS, MOST_LISTED, HOT_SETS, PARITIES = 4_000, 100_000, 250, 8
+#: Texts of the sample that finds frequent shingles, at least, and shingles that are listed as frequent; 64-bit words of
+#: parities of a set.
+SAMPLE_TEXTS, MOST_LISTED, PARITIES = 4_000, 100_000, 8
+#: Sets of a shingle up to which all are compared at once; in larger ones, sets of similar size to a leader.
+SMALL_BUCKET, LED = 16, 32
+#: Pairs that are compared in one step.
+COMPARED = 250_000
 SALTS = 64
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -115,7 +119,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), *cols], ["doc", *(f"f{k}" for k in range(parts))])
 
     schema = "doc long, " + ", ".join(f"f{k} long" for k in range(parts))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 # ---- shards
@@ -133,7 +137,7 @@ def _expand(classes: DataFrame, codes, parts: int) -> DataFrame:
                 took = [part.column(n).take(pa.array(rows)) for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(code), *took], ["code", *names])
 
-    return classes.select(*names).mapInArrow(run, "code long, " + ", ".join(f"{n} long" for n in names))
+    return classes.select(*names).mapInArrow(tidy(run), "code long, " + ", ".join(f"{n} long" for n in names))
 
 
 def vantage_shards(classes: DataFrame, radius: int, n: int) -> DataFrame:
@@ -362,7 +366,7 @@ def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int
                 a, b = (code[a], code[b]) if kind == MORE else (a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
 
-    return dealt.mapInArrow(run, "a long, b long, kind int")
+    return dealt.mapInArrow(tidy(run), "a long, b long, kind int")
 
 
 # ---- the operators
@@ -406,26 +410,67 @@ def _digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def _parities(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """For each set, ``words`` words of bits: whether an odd number of its shingles falls to each of 64 ``words`` places. Two
+    sets differ in at most as many places as in shingles."""
+    places = 64 * words
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) >> np.uint64(7)).astype(np.int64) & (places - 1) if len(row) else np.zeros(0, np.int64)
+    odd = np.bincount(row * places + at, minlength=len(sets) * places).reshape(len(sets), places) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def text_classes(texts: DataFrame, words: int, seed: int, parts: int) -> DataFrame:
-    """Rows ``(doc, text_hash, node, f0[, f1 ...])`` for rows (doc, text, text_hash): the name of the text's set of shingles
-    and the set's fingerprints."""
+    """Rows ``(doc, text_hash, node, n, f0 ..., p0 ...)`` for rows (doc, text, text_hash): the name of the text's set of
+    shingles, its size, the set's fingerprints and its parities."""
     def run(batches):
         only("simhash", dict)
         for batch in batches:
             rows, at = batch.column("text").to_pylist(), 0
             while at < len(rows):
                 first, sets, size = at, [], 0
-                while at < len(rows) and size < 100_000:
+                while at < len(rows) and size < 100_000 and len(sets) < 1000:
                     sets.append(_shingle_set(rows[at], words, seed))
                     size += len(sets[-1])
                     at += 1
-                h, n = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
-                cols = [pa.array(majority_bits(_mix(h, k), n).view(np.int64)) for k in range(parts)]
+                h, n, odd = np.concatenate(sets), np.array([len(s) for s in sets], np.int64), _parities(sets, PARITIES)
+                cols = [pa.array(n), *(pa.array(majority_bits(_mix(h, k), n).view(np.int64)) for k in range(parts)), *(pa.array(odd[:, k].copy()) for k in range(PARITIES))]
                 own = [batch.column(c).slice(first, at - first) for c in ("doc", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([_digest(s) for s in sets], pa.int64()), *cols], ["doc", "text_hash", "node", *(f"f{k}" for k in range(parts))])
+                yield pa.RecordBatch.from_arrays([*own, pa.array([_digest(s) for s in sets], pa.int64()), *cols], names)
+
+    names = ["doc", "text_hash", "node", *_sketch(parts)]
+    return texts.select("doc", "text", "text_hash").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
+
+
+def _sketch(parts: int) -> list[str]:
+    return ["n", *(f"f{k}" for k in range(parts)), *(f"p{k}" for k in range(PARITIES))]
+
+
+#: Standard deviations beyond the expected distance of SimHashes from which a pair is sure not to have the similarity, and
+#: shingles of two sets together from which their bits follow the normal law that this takes.
+SURE, MANY_SHINGLES = 8.0, 400
+
+
+def close_pairs(pairs: DataFrame, classes: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """The pairs (a, b) of nodes that may have the similarity: sets that do differ in at most a ninth (at 0.8) of their
+    shingles, and so in as many parities; and SimHashes of many shingles come SURE deviations beyond the distance expected at
+    the similarity with a probability under 1e-14."""
+    sketch = _sketch(parts)
+    one, two = (classes.select(F.col("node").alias(side), *(F.col(c).alias(side + c) for c in sketch)) for side in ("a", "b"))
+    apart = lambda kind, k: sum((F.bit_count(F.col(f"a{kind}{i}").bitwiseXOR(F.col(f"b{kind}{i}"))) for i in range(k)), F.lit(0))
+    both = F.col("an") + F.col("bn")
+    met = pairs.join(one, "a").join(two, "b").where(apart("p", PARITIES) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+    return met.where((both < MANY_SHINGLES) | (apart("f", parts) <= _far_bits(similarity, parts))).select("a", "b")
+
+
+def _far_bits(similarity: float, parts: int) -> int:
+    bits, share = 64 * parts, _expected_share(similarity)
+    return math.ceil(bits * share + SURE * math.sqrt(bits * share * (1 - share)))
+
 
-    schema = "doc long, text_hash long, node long, " + ", ".join(f"f{k} long" for k in range(parts))
-    return texts.select("doc", "text", "text_hash").mapInArrow(run, schema)
+def _expected_share(similarity: float) -> float:
+    """The share of SimHash bits in which sets of one size and this similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 # ---- pairs of similar sets: prefixes of shingles
@@ -443,7 +488,7 @@ def frequent_shingles(texts: DataFrame, n: int, words: int, seed: int) -> tuple[
             for t in batch.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t, words, seed).view(np.int64))], ["key"])
 
-    sample = texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(stride)) == 0).select("text").mapInArrow(run, "key long")
+    sample = texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(stride)) == 0).select("text").mapInArrow(tidy(run), "key long")
     most = sample.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(MOST_LISTED).collect()
     keys, counts = np.array([r[0] for r in most], np.int64).view(np.uint64), np.array([r[1] for r in most], np.int64)
     order = np.argsort(keys)
@@ -451,7 +496,8 @@ def frequent_shingles(texts: DataFrame, n: int, words: int, seed: int) -> tuple[
 
 
 def prefix_rows(texts: DataFrame, words: int, seed: int, similarity: float, listed: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """Rows ``(key, x, y, node, n, at, hot)``: the first shingles of each set of n, rarest first, at their places ``at``.
+    """Rows ``(key, x, y, node, n, at, odd)``: the first shingles of each set of n, rarest first, at their places ``at``,
+    with a word of parities of the set.
 
     Two sets with a Jaccard similarity of ``similarity`` or more have at least that share of either's shingles in common, so
     in one order of all shingles the first n - ceil(similarity n) + 1 of both share one. Shingles of more than LARGE_SHARD
@@ -479,50 +525,82 @@ def prefix_rows(texts: DataFrame, words: int, seed: int, similarity: float, list
                 at, rank, split = np.arange(len(first)), rank[first], split[first]
                 row = np.repeat(at, split)
                 mine, other = (node % split)[row], np.arange(len(row)) - np.repeat(np.cumsum(split) - split, split)
-                out.append((own[first][row].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.full(len(row), node), np.full(len(row), n), at[row], rank[row] * stride > HOT_SETS))
+                odd = np.full(len(row), _parities([own], 1)[0, 0])
+                out.append((own[first][row].view(np.int64), np.minimum(mine, other), np.maximum(mine, other), np.full(len(row), node), np.full(len(row), n), at[row], odd))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
-                kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds)], ["key", "x", "y", "node", "n", "at", "hot"])
+                kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds)], ["key", "x", "y", "node", "n", "at", "odd"])
 
-    return texts.select("text").mapInArrow(run, "key long, x int, y int, node long, n int, at int, hot boolean")
+    return texts.select("text").mapInArrow(tidy(run), "key long, x int, y int, node long, n int, at int, odd long")
 
 
-def _run_pairs(run, node, far, n, at, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of each run of equal keys whose sets' components differ, and whose sizes and places leave the similarity
-    possible if this is the first shingle that both list."""
+#: What ``prefix_pairs`` compares: all sets of small buckets; the sets of a bucket with their leaders; all of them.
+SMALL, LEADERS, EVERY = range(3)
+
+
+def _run_pairs(run, far, n, at, odd, similarity: float, which: int, sketch: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of each run of equal keys whose sets' components differ, and whose sizes, parities and places leave the
+    similarity possible if this is the first shingle that both list. ``sketch`` has more parities, and SimHashes, as
+    ``close_pairs`` judges them."""
+    odd = odd.view(np.uint64)
+    words = {kind: [v.view(np.uint64) for k, v in sketch.items() if k[0] == kind] for kind in "pf"}
+
     def possible(i, j):
-        need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
-        return (far[i] != far[j]) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
+        both = n[i] + n[j]
+        fits = np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * both - 1e-6
+        return fits & (far[i] != far[j]) & (np.bitwise_count(odd[i] ^ odd[j]) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+
+    def close(i, j):
+        if sketch:
+            for kind in "pf":
+                apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words[kind])
+                both = n[i] + n[j]
+                ok = apart <= (1 - similarity) / (1 + similarity) * both + 1e-6 if kind == "p" else (both < MANY_SHINGLES) | (apart <= _far_bits(similarity, len(words["f"])))
+                i, j = i[ok], j[ok]
+        return i, j
 
     sizes = np.bincount(run)
     start = np.cumsum(sizes) - sizes
-    small, shift = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= 32)), 1
-    while len(small):
+    small, shift = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= SMALL_BUCKET)), 1
+    while len(small) and which != LEADERS:
         small = small[small + shift < len(run)]
         small = small[run[small] == run[small + shift]]
         ok = small[possible(small, small + shift)]
-        yield ok, ok + shift
+        yield close(ok, ok + shift)
         shift += 1
-    for r in np.flatnonzero(sizes > 32):
+    for r in np.flatnonzero(sizes > SMALL_BUCKET) if which != SMALL else ():
         rows = np.arange(start[r], start[r] + sizes[r])
         if (far[rows] == far[rows[0]]).all():
             continue
         rows = rows[np.argsort(n[rows], kind="stable")]
+        if which == LEADERS:
+            place = np.arange(len(rows)) // LED
+            for step in (-1, 0, 1):  # the leaders of a row's own and of the neighbouring stretches of sizes
+                lead = rows[np.clip((place + step) * LED + LED // 2, 0, len(rows) - 1)]
+                ok = possible(rows, lead)
+                yield close(rows[ok], lead[ok])
+            continue
         lo = 0
         while lo < len(rows):
-            hi = min(len(rows), lo + max(1, 1_000_000 // (len(rows) - lo)))
+            hi = min(len(rows), lo + max(1, COMPARED // (len(rows) - lo)))
             end = np.searchsorted(n[rows], n[rows[hi - 1]] / similarity + 1e-6, "right")
             i, j = rows[lo:hi, None], rows[None, lo:end]
             a, b = np.nonzero(possible(i, j) & (np.arange(lo, hi)[:, None] < np.arange(lo, end)))
-            yield rows[lo + a], rows[lo + b]
+            yield close(rows[lo + a], rows[lo + b])
             lo = hi
 
 
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes that share a row's key and may have the similarity, of rows with ``far``."""
+_PAIR_OR_ROW = [("key", np.int64), ("x", np.int32), ("y", np.int32), ("node", np.int64), ("n", np.int32), ("at", np.int32), ("odd", np.int64), ("b", np.int64), ("row", bool)]
+
+
+def prefix_pairs(rows: DataFrame, similarity: float, which: int) -> DataFrame:
+    """Pairs of nodes that share a row's key and may have the similarity: rows ``(node, b, row)`` with ``row`` false; nodes of
+    one ``far``, where rows have it, are no pair. SMALL also hands on the rows of larger buckets, with ``row`` true."""
     key = ["key", "x", "y"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key, "node")
+    own = "far" if "far" in rows.columns else "node"
+    more = [c for c in rows.columns if c[1:].isdigit()]
 
     def run(batches):
         only("simhash", dict)
@@ -530,7 +608,7 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 50_000:
+            if size >= 20_000:
                 table = pa.Table.from_batches(held).combine_chunks()
                 codes = [table[k].to_numpy() for k in key]
                 end = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in codes])))
@@ -542,78 +620,79 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             yield from found(pa.Table.from_batches(held))
 
     def found(table):
-        codes = [table[k].to_numpy() for k in key]
-        number = np.concatenate([[0], np.cumsum(np.logical_or.reduce([np.diff(c) != 0 for c in codes]))])
-        node = table["node"].to_numpy()
-        new = np.ones(len(node), bool)  # equal sets of several tasks
-        new[1:] = (np.diff(number) != 0) | (node[1:] != node[:-1])
-        far, n, at = (table[c].to_numpy()[new] for c in ("far", "n", "at"))
-        number, node = number[new], node[new]
-        held, size = [], 0
-        for i, j in _run_pairs(number, node, far, n, at, similarity):
+        c = {k: table[k].to_numpy() for k in (*key, "node", "n", "at", "odd", own, *more)}
+        number = np.concatenate([[0], np.cumsum(np.logical_or.reduce([np.diff(c[k]) != 0 for k in key]))])
+        new = np.ones(len(number), bool)  # equal sets of several tasks
+        new[1:] = (np.diff(number) != 0) | (c["node"][1:] != c["node"][:-1])
+        c, number = {k: v[new] for k, v in c.items()}, number[new]
+        held, size, node = [], 0, c["node"]
+        for i, j in _run_pairs(number, c[own], c["n"], c["at"], c["odd"], similarity, which, {k: c[k] for k in more}):
             held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
             size += len(i)
-            if size > 500_000:
-                yield batch(held)
+            if size > COMPARED:
+                yield pairs(held)
                 held, size = [], 0
         if size:
-            yield batch(held)
+            yield pairs(held)
+        if which == SMALL and (large := np.bincount(number)[number] > SMALL_BUCKET).any():
+            yield batch_of({**{k: v[large] for k, v in c.items()}, "row": np.ones(int(large.sum()), bool)})
+
+    def pairs(held):
+        both = np.unique(np.concatenate(held), axis=0)
+        return batch_of({"node": both[:, 0], "b": both[:, 1]})
 
-    def batch(held):
-        pairs = np.unique(np.concatenate(held), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    def batch_of(c):
+        n = len(c["node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[k], t) if k in c else np.zeros(n, t)) for k, t in _PAIR_OR_ROW], [k for k, _ in _PAIR_OR_ROW])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "key long, x int, y int, node long, n int, at int, odd long, b long, `row` boolean")
 
 
 def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
-    """Rows ``(node, n, p0 ..., shingles)`` of rows (text): each set, its size, and the parities of its shingles dealt to
-    512 places, which differ between two sets in at most as many places as the sets in shingles."""
+    """Rows ``(node, shingles)`` of rows (text): each set."""
     def run(batches):
         only("simhash", dict)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 sets = [_shingle_set(t, words, seed) for t in batch.column("text").slice(at, 64).to_pylist()]
-                odd = np.stack([np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1 for s in sets])
-                bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                cols = [pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(bits[:, k].copy()) for k in range(PARITIES))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", *(f"p{k}" for k in range(PARITIES)), "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "node long, n int, " + "".join(f"p{k} long, " for k in range(PARITIES)) + "shingles array<long>")
+    return texts.select("text").mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
-def similar_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Only texts that
-    stand in a pair are read again; parities first part most pairs, and a set moves once for each of the pairs that are left."""
-    nodes = keep(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "nodes")
+def similar_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int, similarity: float, parts: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Sketches first part
+    most pairs; only texts that stand in a pair that is left are read again, and a set moves once for each of its pairs.
+
+    Texts meet the ids by a merge join at every size: the ids grow with the input, so they are not broadcast."""
+    close = keep(close_pairs(pairs, classes, similarity, parts), "close")
+    if not close.limit(1).count():
+        return close
+    nodes = keep(close.selectExpr("explode(array(a, b)) AS node").distinct(), "nodes")
     ids = keep(classes.join(nodes, "node").select(F.col("rep").alias("doc")).distinct(), "ids")
-    sets = shingle_sets(texts.join(ids, "doc", "left_semi"), words, seed).join(nodes, "node", "left_semi")
+    sets = shingle_sets(texts.join(ids.hint("merge"), "doc", "left_semi"), words, seed).join(nodes, "node", "left_semi")
     sets = keep(sets.dropDuplicates(["node"]), "shingles")
-    p = [f"p{k}" for k in range(PARITIES)]
-    short = sets.select("node", "n", *p)
-    one, two = (short.select(F.col("node").alias(side), *(F.col(c).alias(side + c) for c in ["n", *p])) for side in ("a", "b"))
-    differ = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in p), F.lit(0))
-    close = pairs.join(one, "a").join(two, "b").where(differ <= (1 - similarity) / (1 + similarity) * (F.col("an") + F.col("bn")) + 1e-6)
-    close = keep(close.select("a", "b"), "close")
     both = close.join(sets.selectExpr("node AS a", "shingles AS s"), "a").join(sets.selectExpr("node AS b", "shingles AS t"), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("n"))
     sure = keep(common.where(F.col("i") >= similarity * (F.col("n") - F.col("i"))).select("a", "b"), "similar")
     for table in (sets, close, ids, nodes):
         drop_kept(table)
+    release(texts.sparkSession)
     return sure
 
 
 def text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, parts: int = 8, recall: float = 0.95, inner: float = 2.5) -> DataFrame:
     """``simhash_groups`` with ``text_hash``, Spark's ``xxhash64`` of the row's text, and ``root``, the group's own name: rows
     that share an id may stand in several groups."""
-    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * parts
+    share, bits = _expected_share(similarity), 64 * parts
     radius = max(0, math.floor(bits * share - inner * math.sqrt(bits * share * (1 - share))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     f = [f"f{k}" for k in range(parts)]
     prints = keep(text_classes(texts, words, seed, parts), "fingerprints")
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    part = keep(salted.groupBy("node", "salt").agg(F.min("doc").alias("rep"), *(F.min(c).alias(c) for c in f)), "prints")
-    classes = keep(part.groupBy("node").agg(F.min("rep").alias("rep"), *(F.min(c).alias(c) for c in f)).where("rep IS NOT NULL"), "classes")
+    sketch = [F.min(c).alias(c) for c in _sketch(parts)]
+    part = keep(salted.groupBy("node", "salt").agg(F.min("doc").alias("rep"), *sketch), "prints")
+    classes = keep(part.groupBy("node").agg(F.min("rep").alias("rep"), *sketch).where("rep IS NOT NULL"), "classes")
     n = classes.count()
 
     # near copies by their fingerprints, so that large groups of them are not compared pair by pair
@@ -621,17 +700,30 @@ def text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = keep(links(deal_shards(shards, parts), radius, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     drop_kept(shards)
     own = texts.where("doc IS NOT NULL")
-    known = similar_pairs(own, classes, near, words, seed, similarity)
+    known = similar_pairs(own, classes, near, words, seed, similarity, parts)
     far = keep(components(known).withColumnRenamed("component", "far"), "far")
 
-    # all other pairs, by their rarest shingles
-    rows = keep(prefix_rows(own, words, seed, similarity, frequent_shingles(own, n, words, seed)), "prefixes")
-    hot = rows.where("hot").join(far, "node", "left").withColumn("far", F.coalesce("far", "node"))
-    apart = prefix_pairs(rows.where("NOT hot").withColumn("far", F.col("node")).unionByName(hot).drop("hot"), similarity)
-    apart = apart.join(far.selectExpr("node AS a", "far AS fa"), "a", "left").join(far.selectExpr("node AS b", "far AS fb"), "b", "left")
-    apart = keep(apart.where("coalesce(fa, a) <> coalesce(fb, b)").select("a", "b"), "apart")
-    drop_kept(rows)
-    joined = components(known.union(similar_pairs(own, classes, apart, words, seed, similarity)))
+    # all other pairs, by their rarest shingles: small buckets and the leaders of large ones first, so that dense groups join
+    def told(rows: DataFrame) -> DataFrame:
+        known_of = classes.select("node", *_sketch(parts)[1:]).join(far, "node", "left").withColumn("far", F.coalesce("far", "node"))
+        return rows.drop("b", "row").join(known_of, "node")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("NOT `row`").select(F.col("node").alias("a"), "b").distinct()
+        met = pairs.join(far.selectExpr("node AS a", "far AS fa"), "a", "left").join(far.selectExpr("node AS b", "far AS fb"), "b", "left")
+        return met.where("coalesce(fa, a) <> coalesce(fb, b)").select("a", "b")
+
+    listed = frequent_shingles(own, n, words, seed)
+    first = keep(prefix_pairs(prefix_rows(own, words, seed, similarity, listed), similarity, SMALL), "small-buckets")
+    release(docs.sparkSession)
+    large = first.where("`row`")
+    some = keep(between(first.unionByName(prefix_pairs(told(large), similarity, LEADERS))), "apart")
+    known = keep(known.union(similar_pairs(own, classes, some, words, seed, similarity, parts)), "known")
+    far = keep(components(known).withColumnRenamed("component", "far"), "far")
+    rest = keep(between(prefix_pairs(told(large), similarity, EVERY)), "apart")
+    joined = components(known.union(similar_pairs(own, classes, rest, words, seed, similarity, parts)))
+    for table in (first, some, rest):
+        drop_kept(table)
 
     whole = classes.select("node", "rep").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     whole = whole.join(whole.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "root", "component")
