@@ -22,7 +22,7 @@ import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WHITE, new_path, only, release
+from .shared import WHITE, carried, new_path, only, release
 
 #: Keys of a shard at most, in the mean: about 1.2 MB of arrays.
 SHARD_KEYS = 50_000
@@ -276,6 +276,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         built.write.partitionBy("shard").parquet(path)
     extra = docs.select(*carry).schema.fields
     schema = ", ".join(["doc long", *(f"`__carried_{f.name}` {f.dataType.simpleString()}" for f in extra), "kept_text string, n_lines long, n_dropped long"])
-    carried = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__carried_{c}") for c in carry])
-    out = carried.mapInArrow(_probe(path if total else None, shards, min_chars, min_docs, SLAB_BYTES, CACHE_BYTES), schema)
-    return out.select("doc", *[F.col(f"__carried_{c}").alias(c) for c in carry], "kept_text", "n_lines", "n_dropped")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__carried_{c}") for c in carry])
+    out = whole.mapInArrow(_probe(path if total else None, shards, min_chars, min_docs, SLAB_BYTES, CACHE_BYTES), schema)
+    return out.select("doc", *[F.col(f"__carried_{c}").alias(carried(c, ["doc", "kept_text", "n_lines", "n_dropped"])) for c in carry], "kept_text", "n_lines", "n_dropped")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import keep
+from .shared import carried, keep
 
 # For each language, frequent words whose shares are compared.
 COMMON_WORDS = {
@@ -115,7 +115,7 @@ def judge_quality(
     limit and the text has at least ``min_class_chars`` characters or ``min_word_count`` words. A language without a list
     of common words (or null) has no reference, so the base rules alone decide. Null and empty texts have no words and
     fail. Ties, repeated rows and null ids are judged row by row; other columns are not read but for those named in ``carry``,
-    which follow in the result.
+    which follow in the result, as ``carried_<name>`` where the result has such a name itself.
 
     One pass counts, its narrow result is written to the shared folder, and a sum per language (a few rows: the lists above
     bound them) is broadcast back; there is no shuffle of rows.
@@ -145,8 +145,8 @@ def judge_quality(
     )
     # the first references hold what they are to reject; the second are of the documents near the first
     near = judged(references(counts.where(good))).where(good & ~strange).select(*counts.columns)
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
     return judged(references(near)).select(
-        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", (~F.col("base_failed") & ~strange).alias("kept"),
-        *[F.col(f"__carried_{c}").alias(c) for c in carry],
+        F.col("__id").alias(id_col), *own, (~F.col("base_failed") & ~strange).alias("kept"),
+        *[F.col(f"__carried_{c}").alias(carried(c, [id_col, *own, "kept"])) for c in carry],
     )

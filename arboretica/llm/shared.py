@@ -40,6 +40,11 @@ def tidy(run):
     return wrapped
 
 
+def carried(name: str, own: list[str]) -> str:
+    """What a carried column is called in a result with columns ``own``: its name, or ``carried_<name>`` where that is taken."""
+    return f"carried_{name}" if name in own else name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a new one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

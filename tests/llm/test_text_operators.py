@@ -253,22 +253,63 @@ def _counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
 
 
+def _histograms(t):
+    """Character classes and common English words of a text, and how many there are."""
+    t = t or ""
+    words = [w for w in "".join("\0" if c in WHITE else c for c in t).split("\0") if w]
+    classes = [sum(c in x for c in t) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:?!", "#*$%&|<>")]
+    inside = sum(map(len, words))
+    found = [sum(w.lower() == x for w in words) for x in quality.COMMON_WORDS["en"]]
+    return [len(t) - inside, inside - sum(classes), *classes], [*found, len(words) - sum(found)]
+
+
+def _distance(p, q):
+    n, m = sum(p), sum(q)
+    if not n or not m:
+        return 0.0
+    total = 0.0
+    for a, b in zip(p, q):
+        x, y = a / n, b / m
+        total += (x * np.log2(2 * x / (x + y)) if x else 0) + (y * np.log2(2 * y / (x + y)) if y else 0)
+    return max(0.0, total / 2) ** 0.5
+
+
+def brute_distances(rows):
+    """Distances of every English text to the references, which are taken twice."""
+    hists, base = [_histograms(t) for _, t in rows], []
+    for _, t in rows:
+        c = _counts(t)
+        base.append(c[0] >= 50 and 100 * c[4] <= 50 * c[0])
+    chosen, out = list(base), []
+    for _ in range(2):
+        refs = [[sum(h[k][i] * 1_000_000 // max(1, sum(h[k])) for h, ok in zip(hists, chosen) if ok) for i in range(n)] for k, n in ((0, 5), (1, 13))]
+        out = [tuple(_distance(h[k], refs[k]) for k in (0, 1)) for h in hists]
+        chosen = [ok and not (len(t or "") >= 200 and d[0] > 0.15 or _counts(t)[0] >= 200 and d[1] > 0.45) for ok, d, (_, t) in zip(base, out, rows)]
+    return out
+
+
 def test_quality(spark):
     rng = random.Random(1)
     clean = [" ".join(rng.choice(["the", "of", "and", "harbour", "stone%d" % rng.randint(0, 400), "river", "it", "was", "Green."]) for _ in range(rng.randint(60, 300))) for _ in range(60)]
     junk = [" ".join("%s%s" % (rng.choice("abcdefg") * 3 + str(rng.randint(0, 500)), rng.choice(["###", "$$$", "|"])) for _ in range(200)) for _ in range(6)]
     short = ["a b c", "a b c a b c a b c", "dup line\nother\ndup line\n \n \n", "x y z x y z q"]
     texts = list(enumerate(clean + junk + short + odd_texts(40, 4, 400)))
-    got = {r.doc_id: r for r in quality.judge_quality(docs(spark, texts), carry=("kept",)).drop("kept").collect()}
-    judged = {r.doc_id: r.kept for r in quality.judge_quality(docs(spark, texts)).collect()}
-    for i, t in texts:
-        want = _counts(t)
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
-        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+    rows = texts + [(0, texts[0][1]), (None, clean[1]), (None, None)]
+    out = quality.judge_quality(docs(spark, rows), carry=("kept", "source")).collect()
+    assert len(out) == len(rows) and out[0].carried_kept == "x" and out[0].source == "s" and sum(r.doc_id is None for r in out) == 2
+    got = {r.doc_id: r for r in out}
+    want = brute_distances(rows)
+    for (i, t), (classes, words) in zip(rows, want):
+        counts = _counts(t)
+        for r in [x for x in out if x.doc_id == i and (i is not None or x.n_words == counts[0])]:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts, t
+            assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+            assert (r.class_distance, r.word_distance) == pytest.approx((classes, words), abs=1e-6)
+            strange = len(t or "") >= 200 and classes > 0.15 or counts[0] >= 200 and words > 0.45
+            assert r.kept == (not r.base_failed and not strange)
     for i in range(len(clean)):
-        assert judged[i] == (not got[i].base_failed)
-    assert not any(judged[i] for i in range(len(clean), len(clean) + len(junk)))
+        assert got[i].kept == (not got[i].base_failed)
+    assert not any(got[i].kept for i in range(len(clean), len(clean) + len(junk)))
     assert quality.judge_quality(docs(spark, [])).count() == 0
     other = docs(spark, [(1, clean[0])], None)
     assert quality.judge_quality(other).first().class_distance == 0
