@@ -8,7 +8,7 @@ import sys
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.attributes import attribute
 from ..functions.preprocess import MODES, extrema, preprocess
@@ -187,8 +187,9 @@ def read_pixels(spark: SparkSession, run: Run) -> DataFrame:
         channels = [formats.read_rasters(spark, f"{stem}-{c}.{ext}", run.hdf5_dataset).withColumn("image_id", F.lit(0).cast("long")) for c in rasters.LUMINANCE]
         return rasters.luminance(*channels)
     if run.image_options in ("sequence", "lofar"):
-        files = sorted(r.path for r in spark.read.format("binaryFile").load(name).select("path").collect())  # names of slices, not data
-        return rasters.stack([formats.read_rasters(spark, f, run.hdf5_dataset).withColumn("image_id", F.lit(0).cast("long")) for f in files])
+        names = spark.read.format("binaryFile").load(name).select("path")
+        order = names.select(F.xxhash64("path").alias("image_id"), (F.row_number().over(Window.orderBy("path")) - 1).alias("n"))  # a row a file
+        return rasters.stack_images(formats.read_rasters(spark, name, run.hdf5_dataset), order)
     if max(run.mpi_grid) > 1 and "-T" in name:
         tiles = formats.read_rasters(spark, name, run.hdf5_dataset, tiled=True)
         size = tiles.where("tile = 0").agg(F.max("x"), F.max("y"), F.max("z")).first()

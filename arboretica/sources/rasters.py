@@ -76,3 +76,10 @@ def stack(slices: list[DataFrame]) -> DataFrame:
         out = own if out is None else out.unionByName(own)
     size = slices[0].groupBy("image_id").agg((F.max("idx") + 1).alias("size"))
     return out.join(size, "image_id").withColumn("idx", F.col("idx") + F.col("n") * F.col("size")).drop("n", "size")
+
+
+def stack_images(pixels: DataFrame, order: DataFrame) -> DataFrame:
+    """One volume of the 2-D images of ``pixels``, placed along z by ``order(image_id, n)``: however many, one plan."""
+    size = pixels.groupBy("image_id").agg(((F.max("x") + 1) * (F.max("y") + 1)).cast("long").alias("size"))
+    placed = pixels.join(order.join(size, "image_id"), "image_id")
+    return placed.select(F.lit(0).cast("long").alias("image_id"), (F.col("idx") + F.col("n") * F.col("size")).alias("idx"), "x", "y", F.col("n").cast("int").alias("z"), "g")

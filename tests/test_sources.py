@@ -108,6 +108,19 @@ def test_sample_types(spark, tmp_path, kind, values):
             assert done.path.endswith(".pgm") == (kind in ("u1", "u2"))
 
 
+def test_slices_and_channels(spark, tmp_path):
+    """A volume of slice files by their names' order, and a gray raster of three channel files."""
+    slices = [np.arange(12.0).reshape(3, 4) + 20 * k for k in range(3)]
+    for k, a in enumerate(slices):
+        (tmp_path / f"s{k}.pgm").write_bytes(formats.encode_pgm(a))
+    rows = config.read_pixels(spark, config.make_run(input_name=str(tmp_path / "s*.pgm"), image_options="sequence")).orderBy("idx").collect()
+    assert [r.g for r in rows] == np.concatenate([a.ravel() for a in slices]).tolist() and [r.z for r in rows] == [0] * 12 + [1] * 12 + [2] * 12
+    for c, a in zip("RGB", slices):
+        (tmp_path / f"c-{c}.pgm").write_bytes(formats.encode_pgm(a))
+    gray = config.read_pixels(spark, config.make_run(input_name=str(tmp_path / "c.pgm"), image_options="rgb")).orderBy("idx").collect()
+    assert [r.g for r in gray] == pytest.approx((0.2126 * slices[0] + 0.7152 * slices[1] + 0.0722 * slices[2]).ravel().tolist())
+
+
 def test_slabs_and_windows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(formats, "SLAB_BYTES", 40)
     a = np.arange(7 * 9.0).reshape(7, 9)
