@@ -371,14 +371,25 @@ def links(shards: DataFrame, radius: int, parts: int, doubt: int = 0, first: int
 
 # ---- the operators
 
-def _components_of(prints: DataFrame, joined_of, parts: int) -> DataFrame:
-    """Adds ``component`` to rows (doc, f0 ...): the smallest doc reachable over links, through distinct fingerprints.
-    ``joined_of`` gives the (node, component) of the distinct fingerprints and their number."""
+def _components_of(prints: DataFrame, links_of, parts: int) -> DataFrame:
+    """Adds ``component`` to rows (doc, f0 ...): the smallest doc reachable over links, through distinct fingerprints, and
+    through ids that have several. ``links_of`` gives the links (a, b) of the distinct fingerprints and their number."""
     f = [f"f{k}" for k in range(parts)]
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     part = keep(salted.groupBy(*f, "salt").agg(F.min("doc").alias("rep")), "prints")
     classes = keep(part.groupBy(*f).agg(F.min("rep").alias("rep")).where("rep IS NOT NULL"), "classes")
-    joined = joined_of(classes, classes.count())
+    found = links_of(classes, classes.count())
+    name = F.xxhash64(*f)
+    several = prints.where("doc IS NOT NULL").groupBy("doc").agg(F.min(name).alias("least"), F.max(name).alias("most")).where("least <> most")
+    several = keep(several.select("doc"), "several")
+    if several.limit(1).count():
+        own = prints.join(several, "doc").distinct().join(classes, f).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+        # classes may have one smallest id in common only if that id has several fingerprints, which connects them
+        found = found.unionByName(own)
+    found = keep(found.distinct(), "links")
+    joined = components(found)
+    drop_kept(found)
+    drop_kept(several)
     whole = classes.join(joined, classes.rep == joined.node, "left").select(*f, F.coalesce("component", "rep").alias("component"))
     back = part.select(*f, "salt").join(whole, f)
     return salted.join(back, [*f, "salt"], "left").select("doc", *f, F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
@@ -389,15 +400,15 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     digits, and the smallest document id reachable over pairs of fingerprints that differ in at most ``radius`` bits.
 
     Exact: every such pair meets in a vantage shard. Texts without a word have fingerprint zero and are linked like others.
-    Repeated rows keep their place; a null id gets a null component and links nothing. Other columns are not read.
+    Repeated rows keep their place; a null id gets a null component and links nothing. Rows that share an id are one document:
+    what its fingerprints reach is one component. Other columns are not read.
     """
     prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "fingerprints")
 
-    def joined(classes: DataFrame, n: int) -> DataFrame:
-        found = links(deal_shards(vantage_shards(classes, radius, n), 1), radius, 1)
-        return components(keep(found.select("a", "b").distinct(), "links"))
+    def found(classes: DataFrame, n: int) -> DataFrame:
+        return links(deal_shards(vantage_shards(classes, radius, n), 1), radius, 1).select("a", "b")
 
-    out = _components_of(prints, joined, 1)
+    out = _components_of(prints, found, 1)
     return out.select("doc", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component")
 
 

@@ -64,6 +64,25 @@ def test_near_dedup_of_shared_ids(spark):
     assert got == [(1, "a"), (1, "b"), (3, "c")]
 
 
+def test_stages_on_odd_tables(spark):
+    """Every stage gives a defined result for an empty table, null ids, repeated rows, null texts and a text of one long line."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["the", "of", "and"]) if k % 3 else "stone%d" % rng.randrange(900) for k in range(300))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (None, text, "en", "s", 9), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "xx", "s", 0), (4, "w " * 30000, "en", "s", 1), (5, text + " " + "x" * 200_000, "en", "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for own in ([], rows):
+        docs = spark.createDataFrame(own, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if name == "packing":
+                assert out.select("doc_id").count() >= len(own)
+            else:
+                assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS)
+                kept = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+                ids = {"quality_rules": [(False, 1), (False, 1), (True, 0)], "line_dedup": sorted((r[0] is None, r[0] or 0) for r in own), "near_dedup": [(False, 1), (False, 2), (False, 4), (True, 0), (True, 0)]}[name]
+                assert kept == (ids if own else [])
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() >= 30

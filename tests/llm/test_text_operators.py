@@ -398,6 +398,8 @@ def test_simhash(spark):
         for i, f in known:
             label[i] = min([label[i]] + [label[j] for j, g in known if bin(f ^ g).count("1") <= 4])
     assert all(r.component == (None if r.doc is None else label[r.doc]) for r in got)
+    rows = [(3, base[0]), (3, base[1]), (4, base[0]), (9, base[1]), (2, base[1]), (7, base[2]), (8, base[3]), (8, base[2]), (5, base[3]), (6, base[4])]
+    assert sorted({(r.doc, r.component) for r in simhash.simhash_components(docs(spark, rows)).collect()}) == [(2, 2), (3, 2), (4, 2), (5, 5), (6, 6), (7, 5), (8, 5), (9, 2)]
     assert simhash.simhash_components(docs(spark, [])).count() == 0
 
 
