@@ -12,7 +12,7 @@ from arboretica.llm.line_dedup import dedup_lines
 from arboretica.llm.packing import pack_documents
 from arboretica.llm.quality import judge_quality
 from arboretica.llm.queries import tokenizer
-from arboretica.llm.shared import keep
+from arboretica.llm.shared import drop_kept, keep
 from arboretica.llm.simhash import text_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            drop_kept(last)  # the next stage's table holds what it gave
+        last = docs
     return docs
