@@ -19,6 +19,8 @@ from .shared import keep, only
 GROUP_PIECES = 50_000
 #: Words of a generation of the cache; a worker remembers two (about 150 bytes a word).
 CACHE_WORDS = 700_000
+#: Words that the library encodes as one line.
+JOINED_WORDS = 500
 
 
 # Byte classes: 1 an ASCII lower-case letter or digit, 2 a mark other than the apostrophe, 4 white space.
@@ -80,6 +82,8 @@ class WordEncoder:
         spec = json.loads(self.tokenizer.to_str())
         self.apart = words_stand_apart(spec)
         self.added = [t["content"].encode() for t in spec.get("added_tokens", ())]
+        plain = [t for t in spec.get("added_tokens", ()) if not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.between = (plain[0]["content"].encode(), plain[0]["id"]) if plain else None
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
@@ -91,14 +95,19 @@ class WordEncoder:
         cache, older = self.cache, self.older
         new = words.difference(cache)
         if older:
-            known = new.intersection(older)
+            known = [w for w in new if w in older]  # not an intersection, which would walk all of ``older``
             cache.update(zip(known, map(older.__getitem__, known)))
-            new -= known
+            new.difference_update(known)
         part = list(new)
-        for at in range(0, len(part), 20_000):
-            some = part[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            cache.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
+        step = JOINED_WORDS if self.between else 1
+        mark, mark_id = self.between or (b"", -1)
+        for at in range(0, len(part), 40 * step):
+            lines = [part[k : k + step] for k in range(at, min(len(part), at + 40 * step), step)]
+            # an added token parts the words of a line for the library, which knows it before all else; words never hold it
+            for words, e in zip(lines, self.tokenizer.encode_batch_fast([mark.join(x).decode() for x in lines], add_special_tokens=False)):
+                raw = array("I", e.ids).tobytes()
+                cuts = [-4, *(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == mark_id)).tolist(), len(raw)]
+                cache.update(zip(words, [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]))
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """In groups of about 2 MB of text, so that the words of a group fit the cache and memory stays bounded."""
