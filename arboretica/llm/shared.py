@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Seconds that Spark's cleaner, which works beside the driver, gets to delete what the garbage collector has found.
+CLEANING_S = 0.5
+
 _HELD: dict = {}
 
 
@@ -82,6 +86,7 @@ def release(spark: SparkSession) -> None:
     may be too late for the executors' disks."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(CLEANING_S)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
