@@ -22,13 +22,13 @@ import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WHITE, carried, new_path, only, release
+from .shared import WHITE, carried, new_path, only, release, tidy
 
 #: Keys of a shard at most, in the mean: about 1.2 MB of arrays.
 SHARD_KEYS = 50_000
 #: Bytes of shard arrays that a worker keeps, and of texts whose lines are probed together: shards are read as often as there
 #: are slabs, so larger slabs read less and hold more.
-CACHE_BYTES, SLAB_BYTES = 64 << 20, 64 << 20
+CACHE_BYTES, SLAB_BYTES = 64 << 20, 16 << 20
 _GAMMA = 2.0
 
 
@@ -216,6 +216,7 @@ def _probed(slab: list, reader, shards: int, min_docs: int) -> Iterator[pa.Recor
     if reader and slab:
         piece = np.repeat(np.arange(len(slab)), [len(p[0]) for _, p in slab])
         row, line, key = (np.concatenate(c) for c in zip(*(p for _, p in slab)))
+        slab = [(part, p[:1]) for part, p in slab]  # the hashes lie in ``key`` now
         least = np.iinfo(np.int64).min
         ids = [np.array([least if d is None else d for d in part.column("doc").to_pylist()], np.int64) for part, _ in slab]
         doc = np.concatenate([own[p[0]] for own, (_, p) in zip(ids, slab)]) if len(row) else np.zeros(0, np.int64)
@@ -258,7 +259,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     counts = (
-        source.mapInArrow(_keys_of(min_chars), "hi long, lo long, doc long")
+        source.mapInArrow(tidy(_keys_of(min_chars)), "hi long, lo long, doc long")
         .distinct()
         .groupBy("hi", "lo")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("doc", F.lit(-(2**63)))).alias("owner"))
@@ -277,5 +278,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     extra = docs.select(*carry).schema.fields
     schema = ", ".join(["doc long", *(f"`__carried_{f.name}` {f.dataType.simpleString()}" for f in extra), "kept_text string, n_lines long, n_dropped long"])
     whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__carried_{c}") for c in carry])
-    out = whole.mapInArrow(_probe(path if total else None, shards, min_chars, min_docs, SLAB_BYTES, CACHE_BYTES), schema)
+    out = whole.mapInArrow(tidy(_probe(path if total else None, shards, min_chars, min_docs, SLAB_BYTES, CACHE_BYTES)), schema)
     return out.select("doc", *[F.col(f"__carried_{c}").alias(carried(c, ["doc", "kept_text", "n_lines", "n_dropped"])) for c in carry], "kept_text", "n_lines", "n_dropped")
