@@ -3,21 +3,24 @@
 A column of binary images (grey PGM) is decoded in batches. Corners on every level of a pyramid are oriented by their patch's
 centroid, and pairs of smoothed pixels of the turned patch are compared: 256 binary tests, of which nearby ones have a small
 Hamming distance. Tables of sampled tests bring descriptors together (equi-joins on short keys), and images that meet in a
-table are compared corner by corner: they are linked if enough corners agree on one change of scale, turn and shift.
+table are compared corner by corner: they are linked if enough corners agree on one change of scale, turn and shift. What the
+tables miss is found exactly: chunks of images are held against each other, with bounds that part only what cannot be linked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import components, drop_kept, keep, release, tidy
+from .shared import components, drop_kept, drop_path, keep, new_path, release, tidy
 
 #: Levels of the pyramid; each is smaller than the last by the root of two.
 LEVELS = 3
@@ -34,6 +37,12 @@ SMALL_BUCKET, LED = 4, 32
 #: Rows of a key beyond which more tests deal it to several tasks, and one of how many images shows which those are; pairs that
 #: are compared in one step.
 LARGE_KEY, SAMPLED, COMPARED = 200_000, 64, 250_000
+#: Corners of a chunk of the exact pass, and chunk pairs of one of its tasks; sampled corners that tell rare from common ones,
+#: the first of which are pivots, and distances from a pivot at which its corners are parted; tests compared in one step.
+CHUNK, TILES, KNOWN, PIVOTS, RINGS, STEP = 40_000, 4, 2_048, 1_024, (8, 14, 20, 26, 32, 40), 1 << 15
+#: Pairs of near corners that a task holds at once (fewer than 2 to the 23rd), beyond which a pair of chunks is parted; listed
+#: corners that must agree before two images are compared in full.
+HELD, SURE = 4_000_000, 3
 
 
 class MediaError(ValueError):
@@ -159,11 +168,31 @@ def _described_corners(a: np.ndarray, xs: np.ndarray, ys: np.ndarray, level: int
     return out
 
 
+_COS, _SIN = (f(np.arange(256) * (2 * np.pi / 256)) for f in (np.cos, np.sin))
+
+
+def _centre(corners: np.ndarray) -> list[float]:
+    return [(corners[c].min() + float(corners[c].max())) / 2 for c in "xy"]
+
+
+def _wide(corners: np.ndarray, cell: float) -> float:
+    """The width of a cell of shifts: angles are uncertain by some degrees, which moves far corners, so cells follow the
+    corners' extent."""
+    return max(4 * cell, 0.12 * max(float(np.ptp(corners[c])) for c in "xy"))
+
+
+def _order(corners: np.ndarray) -> tuple[int, int]:
+    """Which of two images is turned onto the other: that of fewer corners, and of as many, either, but always the same."""
+    return len(corners), xxhash.xxh3_64_intdigest(corners.tobytes())
+
+
 def agreeing(one: np.ndarray, two: np.ndarray, most_bits: int, cell: float) -> int:
     """The most corners that agree: pairs of few different tests that vote for one change of scale and turn, and one shift
-    within a cell; corners of either image that are in several such pairs count once."""
+    within a cell; corners of either image that are in several such pairs count once. The order of the images does not matter."""
     if not len(one) or not len(two):
         return 0
+    if _order(one) > _order(two):
+        one, two = two, one
     pairs = [np.zeros((0, 2), np.int64)]
     step = max(1, COMPARED // len(two))
     for at in range(0, len(one), step):
@@ -178,17 +207,18 @@ def agreeing(one: np.ndarray, two: np.ndarray, most_bits: int, cell: float) -> i
     levels = a["level"].astype(np.int64) - b["level"]
     ratio = 2.0 ** (-levels / 2)
     turn = (b["angle"].astype(np.int64) - a["angle"]) % 256
-    exact = turn * (2 * np.pi / 256)
-    centre = [(one[c].min() + float(one[c].max())) / 2 for c in "xy"]
+    centre = _centre(one)
     x, y = (a["x"] - centre[0]) * ratio, (a["y"] - centre[1]) * ratio
-    dx, dy = b["x"] - (np.cos(exact) * x - np.sin(exact) * y), b["y"] - (np.sin(exact) * x + np.cos(exact) * y)
-    # angles are uncertain by some degrees, which moves far corners: cells follow the corners' extent
-    wide = max(4 * cell, 0.12 * max(float(np.ptp(two[c])) for c in "xy"))
+    dx, dy = b["x"] - (_COS[turn] * x - _SIN[turn] * y), b["y"] - (_SIN[turn] * x + _COS[turn] * y)
+    wide = _wide(two, cell)
     best = 0
     for grid in range(2):  # in two grids, half a cell apart, so that a border does not part votes that agree
-        cells = np.stack([levels, (turn + 10 * grid) // 20, np.floor(dx / wide + grid / 2), np.floor(dy / wide + grid / 2)], axis=1).astype(np.int64)
-        _, number = np.unique(cells, axis=0, return_inverse=True)
-        counts = [np.bincount(np.unique(np.stack([number.ravel(), k]), axis=1)[0]) for k in (i, j)]
+        number = np.zeros(len(i), np.int64)
+        for part in (levels, (turn + 10 * grid) // 20, np.floor(dx / wide + grid / 2), np.floor(dy / wide + grid / 2)):
+            part = (part - part.min()).astype(np.int64)
+            number = np.unique(number * (int(part.max()) + 1) + part, return_inverse=True)[1]
+        width = max(len(one), len(two))
+        counts = [np.bincount(np.unique(number * width + k) // width) for k in (i, j)]
         best = max(best, int(np.minimum(*counts).max()))
     return best
 
@@ -310,12 +340,8 @@ def _bucket_pairs(check_bits: int):
     return _runs(_BUCKET, found)
 
 
-#: What ``_equal_pairs`` compares: the images that list a corner with their leaders, or all of them.
-LEADERS, EVERY = range(2)
-
-
-def _equal_pairs(which: int):
-    """Pairs (a, b) of images of different ``far`` that list the same corner."""
+def _equal_pairs(batches):
+    """Pairs (a, b) of images of different ``far`` that list the same corner, one of them a leader of a stretch of LED."""
     def found(table):
         whole, own, far = (table[c].to_numpy() for c in ("whole", "class", "far"))
         change = np.flatnonzero(np.diff(whole)) + 1
@@ -323,17 +349,9 @@ def _equal_pairs(which: int):
             rows = np.arange(a, b)
             if (far[rows] == far[a]).all():
                 continue
-            if which == LEADERS:
-                place = np.arange(len(rows)) // LED
-                for step in (-1, 0, 1):
-                    yield from pairs(rows, rows[np.clip((place + step) * LED + LED // 2, 0, len(rows) - 1)], own, far)
-                continue
-            lo = 0
-            while lo < len(rows):
-                hi = min(len(rows), lo + max(1, COMPARED // (len(rows) - lo)))
-                i, j = np.nonzero(np.arange(lo, hi)[:, None] < np.arange(lo, len(rows)))
-                yield from pairs(rows[lo + i], rows[lo + j], own, far)
-                lo = hi
+            place = np.arange(len(rows)) // LED
+            for step in (-1, 0, 1):
+                yield from pairs(rows, rows[np.clip((place + step) * LED + LED // 2, 0, len(rows) - 1)], own, far)
 
     def pairs(i, j, own, far):
         ok = far[i] != far[j]
@@ -341,7 +359,7 @@ def _equal_pairs(which: int):
         if len(both):
             yield pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
-    return _runs(["whole"], found)
+    return _runs(["whole"], found)(batches)
 
 
 def votes_needed(corners: int, least_votes: int, least_share: float) -> int:
@@ -363,6 +381,279 @@ def _verified(least_votes: int, least_share: float, most_bits: int, cell: float)
     return run
 
 
+# ---- what the tables miss
+
+def _sampled_corners(share: float):
+    def run(batches):
+        for batch in batches:
+            for own, data in zip(batch.column("class").to_pylist(), batch.column("corners").to_pylist()):
+                tests = np.frombuffer(data, CORNER)["tests"]
+                tests = tests[np.random.default_rng(abs(own)).random(len(tests)) < share]
+                if len(tests):
+                    yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(tests).tobytes()], pa.binary())], ["tests"])
+
+    return run
+
+
+def _apart(words: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """How many tests differ between many corners (four rows of words) and one."""
+    out = np.bitwise_count(words[0] ^ tests[0]).astype(np.int16)
+    for k in range(1, 4):
+        out += np.bitwise_count(words[k] ^ tests[k])
+    return out
+
+
+#: A chunk's arrays of images (class, group, place in the chunk, ``_order``, first corner, centre, width of a cell) and of corners (CORNER,
+#: its image, whether it is listed, how often the sample has its like, its nearest pivot
+#: and the distance to it).
+_OF_IMAGES, _OF_CORNERS = ("class", "far", "place", "size", "order", "first", "cx", "cy", "wide"), ("corners", "image", "listed", "rare", "home", "apart")
+
+
+def _chunk_written(folder: str, known: np.ndarray, least_votes: int, least_share: float, most_bits: int, cell: float):
+    """Writes the images of a chunk as a file named by its number. An image of n corners lists its rarest, all but the
+    ``votes_needed(n)`` less SURE most common of the sample."""
+    def run(table):
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("n", "class", "far", "corners"))))
+        rows = [(n, own, far, np.frombuffer(data, CORNER)) for n, own, far, data in rows]
+        size = np.array([r[0] for r in rows])
+        every = np.concatenate([r[3] for r in rows])
+        tests = np.ascontiguousarray(every["tests"].T)
+        rare, home, apart = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), np.full(len(every), 999, np.int16)
+        for at in range(0, len(every), 8_000):
+            here = np.s_[at : at + 8_000]
+            for k, point in enumerate(known):
+                d = _apart(tests[:, here], point)
+                rare[here] += d <= most_bits
+                if k < PIVOTS:
+                    closer = d < apart[here]
+                    home[here][closer], apart[here][closer] = k, d[closer]
+        image, first = np.repeat(np.arange(len(rows)), size), np.cumsum(size) - size
+        lists = size - np.array([votes_needed(n, least_votes, least_share) for n in size.tolist()]) + _sure(least_votes)
+        place = np.empty(len(every), np.int64)
+        place[np.lexsort((rare, image))] = np.arange(len(every)) - first[image]
+        listed = place < lists[image]
+        centre = np.array([_centre(r[3]) for r in rows])
+        out = io.BytesIO()
+        np.savez(out, **{"class": np.array([r[1] for r in rows]), "far": np.array([r[2] for r in rows]), "place": np.arange(len(rows)), "size": size, "order": np.array([_order(r[3])[1] for r in rows], np.uint64), "first": first, "cx": centre[:, 0], "cy": centre[:, 1], "wide": np.array([_wide(r[3], cell) for r in rows]),
+                         "corners": every, "image": image, "listed": listed, "rare": rare, "home": home, "apart": apart})
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        number = table["chunk"][0].as_py()
+        with fs.open_output_stream(f"{root}/{number}", compression=None) as stream:
+            stream.write(out.getvalue())
+        return pa.table({"chunk": pa.array([number], pa.int32())})
+
+    return run
+
+
+def _sure(least_votes: int) -> int:
+    return max(1, min(SURE, least_votes - 1))
+
+
+def _read_chunk(folder: str, number: int) -> dict[str, np.ndarray]:
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{root}/{number}", compression=None) as stream:
+        return dict(np.load(io.BytesIO(stream.read())))
+
+
+def _part(chunk: dict, a: int, b: int) -> dict:
+    """Images a to b of a chunk."""
+    first = np.append(chunk["first"], len(chunk["image"]))
+    part = {k: chunk[k][a:b] for k in _OF_IMAGES} | {k: chunk[k][first[a] : first[b]] for k in _OF_CORNERS}
+    return part | {"first": part["first"] - first[a], "image": part["image"] - a}
+
+
+def _near_corners(one: dict, two: dict, pivots: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of a listed corner of ``one`` and a corner of ``two`` with at most ``most_bits`` different tests; None if they
+    are more than HELD. Corners whose distances to a pivot differ by more are not compared."""
+    rows, columns = np.flatnonzero(one["listed"]), np.lexsort((two["apart"], two["home"]))
+    if not len(rows) or not len(columns):
+        return rows[:0], rows[:0]
+    home, apart = two["home"][columns], two["apart"][columns].astype(np.int64)
+    ring = np.searchsorted(RINGS, apart, side="right")
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(home) != 0) | (np.diff(ring) != 0)]))
+    a, b = (np.ascontiguousarray(c["corners"]["tests"][at].T) for c, at in ((one, rows), (two, columns)))
+    found, size, pivot = [], 0, -1
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(columns)]):
+        if home[s] != pivot:
+            pivot = home[s]
+            far = _apart(a, pivots[pivot])
+        near = np.flatnonzero((far <= apart[e - 1] + most_bits) & (far >= apart[s] - most_bits))
+        if not len(near):
+            continue
+        w = a[:, near]
+        step = max(1, STEP // len(near))
+        for at in range(s, e, step):
+            v = b[:, at : min(e, at + step)]
+            d = np.bitwise_count(w[3] ^ v[3][:, None])
+            for k in (0, 1):
+                d += np.bitwise_count(w[k] ^ v[k][:, None])
+            hit = np.flatnonzero(d <= most_bits)
+            c, r = np.divmod(hit, len(near))
+            ok = d.ravel()[hit] + np.bitwise_count(w[2][r] ^ v[2][c]).astype(np.int16) <= most_bits
+            found.append((near[r[ok]].astype(np.int32), (c[ok] + at).astype(np.int32)))
+            size += len(found[-1][0])
+            if size > HELD:
+                return None
+    if not found:
+        return rows[:0], rows[:0]
+    r, c = (np.concatenate(x) for x in zip(*found))
+    return rows.astype(np.int32)[r], columns.astype(np.int32)[c]
+
+
+def _often(key: np.ndarray, times: int) -> np.ndarray:
+    """Which keys (below 2 to the 40th, at most 2 to the 23rd of them) are there so many times."""
+    out = np.zeros(len(key), bool)
+    if len(key) < times:
+        return out
+    short = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
+    some = np.flatnonzero(np.bincount(short)[short] >= times)  # most are not even if numbers that share a hash are taken as one
+    if len(some) >= times:
+        order = np.sort(key[some] << 23 | np.arange(len(some)))
+        same = order[times - 1 :] >> 23 == order[: len(order) - times + 1] >> 23
+        for k in range(times):
+            out[some[order[k : k + len(same)][same] & (1 << 23) - 1]] = True
+    return out
+
+
+def _tile_pairs(one: dict, two: dict, own: bool, pivots: np.ndarray, most_bits: int, sure: int) -> Iterator[tuple[int, int]]:
+    """Pairs of images (places in ``one`` and ``two``), of different groups and of classes not yet met, of which ``sure`` listed
+    corners of the first have votes in one cell of ``agreeing``. ``own``: both are of one chunk."""
+    sizes = len(one["class"]), len(two["class"])
+    expected = float((one["rare"] * one["listed"]).sum()) / KNOWN * len(two["image"])
+    near = _near_corners(one, two, pivots, most_bits) if sizes == (1, 1) or expected < HELD else None
+    if near is None:
+        if sizes == (1, 1):
+            yield 0, 0  # two images of very many corners: compared in full
+            return
+        long = sizes[0] == 1 or sizes[1] > 4 * sizes[0]
+        half = sizes[long] // 2
+        for a, b in ((0, half), (half, sizes[long])):
+            parts = (one, _part(two, a, b)) if long else (_part(one, a, b), two)
+            for i, j in _tile_pairs(*parts, own, pivots, most_bits, sure):
+                yield (i, j + a) if long else (i + a, j)
+        return
+    r, c = near
+    del near
+    p, q = one["image"].astype(np.int32)[r], two["image"].astype(np.int32)[c]
+    ok = one["far"][p] != two["far"][q]
+    if own:
+        ok &= one["place"][p] < two["place"][q]
+    r, c, p, q = r[ok], c[ok], p[ok], q[ok]
+    swap = (one["size"][p] == two["size"][q]) & (one["order"][p] > two["order"][q])  # as ``agreeing`` does
+    turn = two["corners"]["angle"][c].astype(np.int16) - one["corners"]["angle"][r]
+    turn = np.where(swap, -turn, turn) % 256
+    levels = one["corners"]["level"][r].astype(np.int16) - two["corners"]["level"][c]
+    pair = p * np.int64(len(two["class"])) + q
+    some = np.zeros(len(r), bool)
+    for grid in range(2):
+        some |= _often((pair * (2 * LEVELS) + levels + LEVELS) * 16 + (turn + 10 * grid) // 20, sure)
+    r, c, p, q, swap, turn, levels, pair = (x[some] for x in (r, c, p, q, swap, turn, levels, pair))
+    if not len(r):
+        return
+    ratio = 2.0 ** (-np.where(swap, -levels, levels) / 2)
+    ax, ay, bx, by = (np.where(swap, two["corners"][k][c], one["corners"][k][r]) if first else np.where(swap, one["corners"][k][r], two["corners"][k][c]) for first in (True, False) for k in "xy")
+    cx, cy = (np.where(swap, two[k][q], one[k][p]) for k in ("cx", "cy"))
+    wide = np.where(swap, one["wide"][p], two["wide"][q])
+    x, y = (ax - cx) * ratio, (ay - cy) * ratio
+    dx, dy = bx - (_COS[turn] * x - _SIN[turn] * y), by - (_SIN[turn] * x + _COS[turn] * y)
+    met = []
+    for grid in range(2):
+        cells = np.stack([pair, levels, (turn + 10 * grid) // 20, np.floor(dx / wide + grid / 2), np.floor(dy / wide + grid / 2), r], axis=1).astype(np.int64)
+        cells = cells[np.lexsort(cells.T[::-1])]
+        cells = cells[np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(axis=1)])]  # a corner votes once
+        last = cells[sure - 1 :, :5]
+        met.append(last[(last == cells[: len(last), :5]).all(axis=1), 0])
+    for both in np.unique(np.concatenate(met)).tolist():
+        yield divmod(both, len(two["class"]))
+
+
+def _tile_links(folder: str, pivots: np.ndarray, written: set[int], least_votes: int, least_share: float, most_bits: int, cell: float):
+    """Links (a, b) between images of the chunk pairs of a task: of those that it finds, a forest that joins the same images."""
+    def corners(chunk, i):
+        first = chunk["first"]
+        return chunk["corners"][first[i] : first[i + 1] if i + 1 < len(first) else None]
+
+    def run(batches):
+        held: dict[int, dict] = {}
+        for batch in batches:
+            for tile in batch.column("id").to_pylist():
+                high = (math.isqrt(8 * tile + 1) - 1) // 2
+                ends = (tile - high * (high + 1) // 2, high)
+                if not written.issuperset(ends):  # a chunk that its share of images left empty
+                    continue
+                held = {k: held[k] if k in held else _read_chunk(folder, k) for k in set(ends)}
+                one, two = (held[k] for k in ends)
+                root: dict[int, int] = {}
+
+                def top(x):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                links = []
+                for i, j in _tile_pairs(one, two, ends[0] == ends[1], pivots, most_bits, _sure(least_votes)):
+                    if ends[0] == ends[1] and i >= j:
+                        continue
+                    ga, gb = top(int(one["far"][i])), top(int(two["far"][j]))
+                    if ga == gb:
+                        continue
+                    first, second = corners(one, i), corners(two, j)
+                    if agreeing(first, second, most_bits, cell) >= votes_needed(min(len(first), len(second)), least_votes, least_share):
+                        root[max(ga, gb)] = min(ga, gb)
+                        links.append(sorted((int(one["class"][i]), int(two["class"][j]))))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    return run
+
+
+def _with_far(some: DataFrame, links: DataFrame) -> DataFrame:
+    """``some`` with the group (``far``) that the links found so far give to its classes."""
+    far = components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "far")
+    return some.join(far, "class", "left").withColumn("far", F.coalesce("far", "class"))
+
+
+def _missed_links(corners: DataFrame, links: DataFrame, least_votes: int, least_share: float, most_bits: int, cell: float) -> DataFrame:
+    """Links between groups that ``links`` leave apart; joined with these, none that ``agreeing`` gives is missing.
+
+    Images in the order of their numbers of corners are dealt to chunks, files in the shared folder, and every pair of chunks is
+    held against each other, so the time grows with the square of the number of images. Nothing is left out on the way but by
+    bounds: where ``votes_needed`` corners of the poorer image agree, SURE of any list do that is without only that many less
+    SURE; and distances of near corners to a pivot are near. Which corners are rare, and the pivots, are from a sample that costs
+    or saves time only.
+    """
+    spark = corners.sparkSession
+    total = corners.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return links.limit(0)
+    found = corners.select("class", "corners").mapInArrow(tidy(_sampled_corners(KNOWN / total)), "tests binary").collect()
+    known = np.frombuffer(b"".join(r.tests for r in found) or bytes(32), np.uint64).reshape(-1, 4)
+    known = np.random.default_rng(3).permutation(known)[:KNOWN]
+    folder = new_path(spark, "corner-chunks")
+    # chunks of so many corners, in the order of n; images of an n that fills several are dealt to these
+    chunks, filled, places = 0, CHUNK, []
+    for n, times in sorted(corners.groupBy("n").count().collect()):
+        if n < votes_needed(n, least_votes, least_share):
+            continue
+        if filled + n * times > CHUNK:
+            chunks, filled = chunks + 1, 0
+        several = math.ceil(n * times / CHUNK) if n <= CHUNK else times
+        places.append((n, chunks - 1, several))
+        chunks, filled = chunks + several - 1, filled + n * times if several == 1 else CHUNK
+    if not places:
+        return links.limit(0)
+    dealt = _with_far(corners, links).join(F.broadcast(spark.createDataFrame(places, "n int, chunk int, several int")), "n")
+    dealt = dealt.withColumn("chunk", (F.col("chunk") + F.pmod(F.xxhash64("class"), "several")).cast("int"))
+    written = dealt.select("chunk", "n", "class", "far", "corners").groupBy("chunk").applyInArrow(_chunk_written(folder, known, least_votes, least_share, most_bits, cell), "chunk int")
+    written = {r.chunk for r in written.collect()}
+    tiles = chunks * (chunks + 1) // 2
+    run = tidy(_tile_links(folder, known[:PIVOTS], written, least_votes, least_share, most_bits, cell))
+    missed = keep(spark.range(0, tiles, 1, math.ceil(tiles / TILES)).mapInArrow(run, "a long, b long"), "media-links")
+    drop_path(spark, folder)
+    return missed
+
+
 def image_groups(images: DataFrame, *, id_col: str = "media_id", image_col: str = "image", least_votes: int = 5, least_share: float = 0.4, cell: float = 6.0, most_bits: int = 20, check_bits: int = 10) -> DataFrame:
     """Rows ``(media, digest, component)``: groups of images that are copies, crops or edits of each other.
 
@@ -371,10 +662,10 @@ def image_groups(images: DataFrame, *, id_col: str = "media_id", image_col: str
     least ``least_votes`` corners, and ``least_share`` of the fewer corners of the two, agree (``votes_needed``). ``component`` is the smallest id
     reachable. The keys grow with the logarithm of the number of descriptors, so buckets keep their mean size.
 
-    Buckets of many corners are parted by more tests until they are small; all pairs of a bucket count. What they leave large
-    are corners that are equal in many images. Images that have only such corners in common must share as many of them as a
-    link needs at least, t; so each lists its rarest, all but t - 1, and meets those that list the same: their leaders first,
-    and then all that are not in its group by then. Only descriptors move, never images.
+    Buckets of many corners are parted by more tests until they are small; what that leaves large are corners that are equal
+    in many images, which list their rarest and meet leaders of those that list the same. So the tables find most links, but
+    neither all near corners nor all pairs of a bucket. All other pairs of images are then judged by the same rule
+    (``_missed_links``): every pair of images that meets it stands in one group. Only descriptors move, never images.
     Null bytes, other formats and images too small for a patch have no corners and stand alone (equal bytes still group). A
     null id gets a null component. Repeated rows stay; other columns are not read.
     """
@@ -418,11 +709,11 @@ def image_groups(images: DataFrame, *, id_col: str = "media_id", image_col: str
         "class", "whole", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("class")).alias("own"))
     listed = keep(listed.where(F.col("place") <= F.col("own") - (least_votes - 2)).select("class", "whole"), "listed-corners")
     if listed.limit(1).count():
-        for which in (LEADERS, EVERY):
-            far = components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "far")
-            told = listed.join(far, "class", "left").select("class", "whole", F.coalesce("far", "class").alias("far"))
-            met = told.repartition("whole").sortWithinPartitions("whole", "class").mapInArrow(tidy(_equal_pairs(which)), "a long, b long")
-            links = keep(links.union(verified(met.distinct())), "media-links")
+        told = _with_far(listed, links)
+        met = told.repartition("whole").sortWithinPartitions("whole", "class").mapInArrow(tidy(_equal_pairs), "a long, b long")
+        links = keep(links.union(verified(met.distinct())), "media-links")
+    links = keep(links.union(_missed_links(corners, links, least_votes, least_share, most_bits, cell)), "media-links")
+    release(spark)
 
     ids = keep(source.select("media", "digest", "class", F.pmod(F.xxhash64("media"), F.lit(64)).cast("int").alias("salt")), "media-ids")
     part = ids.groupBy("class", "salt").agg(F.min("media").alias("rep"))

@@ -73,10 +73,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def drop_kept(df: DataFrame) -> None:
     """Delete the files of a table made by ``keep`` once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, folder)
+
+
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 """Image descriptors, consensus and groups against all-pairs comparison, and every kind of edit."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -98,3 +99,56 @@ def test_running_maximum():
     a = np.random.default_rng(2).random((30, 25)).astype(np.float32)
     want = np.array([[a[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].max() for x in range(25)] for y in range(30)])
     assert np.array_equal(media._largest_near(a, 2), want)
+
+
+def edits_of(n, seed):
+    """Pictures with two copies that are edited twice."""
+    rows = []
+    for i, p in enumerate(pictures(n, seed)):
+        twice = [media.edited(media.edited(p, (i + k) % 8), (i + 3 * k) % 8) for k in (1, 2)]
+        rows += [(10 * i + k, media.encode_pgm(image)) for k, image in enumerate([p, *twice])]
+    return rows
+
+
+def test_no_link_is_left_out(spark, monkeypatch):
+    """Groups are those of all pairs, none less, in one chunk and in many."""
+    rows = edits_of(40, 5)
+    want = brute(rows)
+    assert {r.media: r.component for r in media.image_groups(table(spark, rows)).collect()} == want
+    monkeypatch.setattr(media, "CHUNK", 300)
+    assert {r.media: r.component for r in media.image_groups(table(spark, rows)).collect()} == want
+
+
+def test_chunk_pairs_against_all_pairs(tmp_path, monkeypatch):
+    """Chunks, whole and parted, give every linked pair of images once; images of one group are not compared."""
+    images = sorted(((len(c), i, c) for i, (_, data) in enumerate(edits_of(24, 9)) if len(c := media.describe(media.decode_pgm(data)))), key=lambda x: x[:2])
+    far = lambda i: i // 10 * 10 if i % 40 < 10 else i  # noqa: E731 - every fourth picture's edits are one group
+    known = np.ascontiguousarray(np.concatenate([c for _, _, c in images])["tests"][::3])
+    half = len(images) // 2
+    write = media._chunk_written(f"file://{tmp_path}", known, 5, 0.4, 20, 6.0)
+    for number, part in enumerate((images[:half], images[half:])):
+        write(pa.table({"chunk": pa.array([number] * len(part), pa.int32()), "n": [n for n, _, _ in part], "class": [i for _, i, _ in part], "far": [far(i) for _, i, _ in part], "corners": [c.tobytes() for _, _, c in part]}))
+    chunks = [media._read_chunk(f"file://{tmp_path}", k) for k in range(2)]
+    want = {(min(i, j), max(i, j)) for a, (_, i, c) in enumerate(images) for _, j, d in images[:a] if far(i) != far(j) and linked(c, d)}
+    assert len(want) > 3 and all(media.agreeing(c, d, 20, 6.0) == media.agreeing(d, c, 20, 6.0) for _, _, c in images for _, _, d in images[:9])
+    for held in (media.HELD, 300, 0):
+        monkeypatch.setattr(media, "HELD", held)
+        met = []
+        for a, b in ((0, 0), (0, 1), (1, 1)):
+            one, two = chunks[a], chunks[b]
+            met += [tuple(sorted((int(one["class"][i]), int(two["class"][j])))) for i, j in media._tile_pairs(one, two, a == b, known, 20, media.SURE) if a != b or i < j]
+        assert len(set(met)) == len(met) and want <= set(met)
+
+
+def test_links_that_the_tables_miss(spark):
+    """Images that the rule links in either order stand in one group, also where the tables do not bring them together."""
+    rows = []
+    for i, p in enumerate(pictures(200, 4)):
+        p = p[5:59, 5:59]
+        copies = [p, *(media.edited(media.edited(p, a), b) for a, b in ((4, 7), (7, 5)))]
+        rows += [(10 * i + k, media.encode_pgm(image)) for k, image in enumerate(copies)]
+    corners = {i: media.describe(media.decode_pgm(data)) for i, data in rows}
+    pairs = [(i + a, i + b) for i in range(0, 2000, 10) for a, b in ((0, 1), (0, 2), (1, 2))]
+    want = [(a, b) for a, b in pairs if linked(corners[a], corners[b]) and linked(corners[b], corners[a])]
+    got = {r.media: r.component for r in media.image_groups(table(spark, rows)).collect()}
+    assert len(want) > 200 and [(a, b) for a, b in want if got[a] != got[b]] == []
