@@ -37,12 +37,13 @@ SMALL_BUCKET, LED = 4, 32
 #: Rows of a key beyond which more tests deal it to several tasks, and one of how many images shows which those are; pairs that
 #: are compared in one step.
 LARGE_KEY, SAMPLED, COMPARED = 200_000, 64, 250_000
-#: Corners of a chunk of the exact pass, and chunk pairs of one of its tasks; sampled corners that tell rare from common ones,
-#: the first of which are pivots, and distances from a pivot at which its corners are parted; tests compared in one step.
-CHUNK, TILES, KNOWN, PIVOTS, RINGS, STEP = 40_000, 4, 2_048, 1_024, (8, 14, 20, 26, 32, 40), 1 << 15
+#: Corners of a chunk of the exact pass, and chunk pairs of one of its tasks; sampled corners that tell rare from common ones;
+#: made-up corners to which distances are known (``_axes``), and directions that they are made of; corners of a run of the second
+#: chunk, which is compared at once, and corner pairs compared in one step.
+CHUNK, TILES, KNOWN, AXES, MAIN, LEAF, STEP = 40_000, 4, 2_048, 24, 6, 128, 1 << 17
 #: Pairs of near corners that a task holds at once (fewer than 2 to the 23rd), beyond which a pair of chunks is parted; listed
 #: corners that must agree before two images are compared in full.
-HELD, SURE = 4_000_000, 3
+HELD, SURE = 6_000_000, 3
 
 
 class MediaError(ValueError):
@@ -79,14 +80,19 @@ def encode_pgm(image: np.ndarray) -> bytes:
 
 
 def _smooth(a: np.ndarray, sigma: float) -> np.ndarray:
+    """One image or several of one size, smoothed along the last two axes; what lies outside is as the border is."""
     n = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
     kernel = (kernel / kernel.sum()).astype(np.float32)
-    for axis in (0, 1):
-        padded = np.pad(a, [(n, n) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        out = np.zeros_like(a)
+    for axis in (-2, -1):
+        size = list(a.shape)
+        size[axis] += 2 * n
+        padded, out, term = np.empty(size, a.dtype), np.zeros_like(a), np.empty_like(a)
+        along = (lambda at: (..., at, slice(None))) if axis == -2 else (lambda at: (..., at))
+        padded[along(slice(n, -n))] = a
+        padded[along(slice(0, n))], padded[along(slice(-n, None))] = a[along(slice(0, 1))], a[along(slice(-1, None))]
         for i in range(2 * n + 1):
-            out += kernel[i] * (padded[i : i + a.shape[0]] if axis == 0 else padded[:, i : i + a.shape[1]])
+            out += np.multiply(padded[along(slice(i, i + a.shape[axis]))], kernel[i], out=term)
         a = out
     return a
 
@@ -143,7 +149,7 @@ def describe(image: np.ndarray) -> np.ndarray:
             break
         a = _smooth(here, 1.0)
         gy, gx = np.gradient(a)
-        xx, yy, xy = (_smooth(g, 1.5) for g in (gx * gx, gy * gy, gx * gy))
+        xx, yy, xy = _smooth(np.stack([gx * gx, gy * gy, gx * gy]), 1.5)
         low = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
         inner = (slice(margin, -margin), slice(margin, -margin))
         ys, xs = np.nonzero((low[inner] >= _largest_near(low, 2)[inner]) & (low[inner] > max(1.0, 0.02 * float(a.var()))))
@@ -395,47 +401,45 @@ def _sampled_corners(share: float):
     return run
 
 
+def _likes(tests: np.ndarray, known: np.ndarray, most_bits: int) -> np.ndarray:
+    """How many of the known corners are near each corner."""
+    out, words = np.zeros(len(tests), np.int32), np.ascontiguousarray(tests.T)
+    for at in range(0, len(tests), 8_000):
+        here = words[:, at : at + 8_000]
+        for point in known:
+            out[at : at + 8_000] += _apart(here, point) <= most_bits
+    return out
+
+
 def _apart(words: np.ndarray, tests: np.ndarray) -> np.ndarray:
-    """How many tests differ between many corners (four rows of words) and one."""
+    """How many tests differ between many corners (four rows of words) and one, or as many others."""
     out = np.bitwise_count(words[0] ^ tests[0]).astype(np.int16)
     for k in range(1, 4):
         out += np.bitwise_count(words[k] ^ tests[k])
     return out
 
 
-#: A chunk's arrays of images (class, group, place in the chunk, ``_order``, first corner, centre, width of a cell) and of corners (CORNER,
-#: its image, whether it is listed, how often the sample has its like, its nearest pivot
-#: and the distance to it).
-_OF_IMAGES, _OF_CORNERS = ("class", "far", "place", "size", "order", "first", "cx", "cy", "wide"), ("corners", "image", "listed", "rare", "home", "apart")
+#: A chunk's arrays of images (class, group, place in the chunk, number of corners, ``_order``, ``votes_needed``, first corner,
+#: centre, width of a cell) and of corners (CORNER, its image, how often the sample has its like, its place in the ``_walk``).
+_OF_IMAGES, _OF_CORNERS = ("class", "far", "place", "size", "order", "need", "first", "cx", "cy", "wide"), ("corners", "image", "rare", "walk")
 
 
 def _chunk_written(folder: str, known: np.ndarray, least_votes: int, least_share: float, most_bits: int, cell: float):
-    """Writes the images of a chunk as a file named by its number. An image of n corners lists its rarest, all but the
-    ``votes_needed(n)`` less SURE most common of the sample."""
+    """Writes the images of a chunk as a file named by its number."""
     def run(table):
         rows = sorted(zip(*(table[c].to_pylist() for c in ("n", "class", "far", "corners"))))
         rows = [(n, own, far, np.frombuffer(data, CORNER)) for n, own, far, data in rows]
         size = np.array([r[0] for r in rows])
         every = np.concatenate([r[3] for r in rows])
-        tests = np.ascontiguousarray(every["tests"].T)
-        rare, home, apart = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), np.full(len(every), 999, np.int16)
-        for at in range(0, len(every), 8_000):
-            here = np.s_[at : at + 8_000]
-            for k, point in enumerate(known):
-                d = _apart(tests[:, here], point)
-                rare[here] += d <= most_bits
-                if k < PIVOTS:
-                    closer = d < apart[here]
-                    home[here][closer], apart[here][closer] = k, d[closer]
-        image, first = np.repeat(np.arange(len(rows)), size), np.cumsum(size) - size
-        lists = size - np.array([votes_needed(n, least_votes, least_share) for n in size.tolist()]) + _sure(least_votes)
-        place = np.empty(len(every), np.int64)
-        place[np.lexsort((rare, image))] = np.arange(len(every)) - first[image]
-        listed = place < lists[image]
+        rare = _likes(every["tests"], known, most_bits)
+        walk = np.empty(len(every), np.int32)
+        walk[_walk(_marks(every["tests"], _axes(known)))] = np.arange(len(every), dtype=np.int32)
+        image, first = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.cumsum(size) - size
+        need = np.array([votes_needed(n, least_votes, least_share) for n in size.tolist()])
         centre = np.array([_centre(r[3]) for r in rows])
         out = io.BytesIO()
-        np.savez(out, **{"class": np.array([r[1] for r in rows]), "far": np.array([r[2] for r in rows]), "place": np.arange(len(rows)), "size": size, "order": np.array([_order(r[3])[1] for r in rows], np.uint64), "first": first, "cx": centre[:, 0], "cy": centre[:, 1], "wide": np.array([_wide(r[3], cell) for r in rows]),
-                         "corners": every, "image": image, "listed": listed, "rare": rare, "home": home, "apart": apart})
+        np.savez(out, **{"class": np.array([r[1] for r in rows]), "far": np.array([r[2] for r in rows]), "place": np.arange(len(rows)), "size": size, "order": np.array([_order(r[3])[1] for r in rows], np.uint64), "need": need, "first": first, "cx": centre[:, 0], "cy": centre[:, 1], "wide": np.array([_wide(r[3], cell) for r in rows]),
+                         "corners": every, "image": image, "rare": rare, "walk": walk})
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         number = table["chunk"][0].as_py()
@@ -456,58 +460,114 @@ def _read_chunk(folder: str, number: int) -> dict[str, np.ndarray]:
         return dict(np.load(io.BytesIO(stream.read())))
 
 
+def _marked(chunk: dict, pivots: np.ndarray) -> dict:
+    return chunk if "marks" in chunk else chunk | {"marks": _marks(chunk["corners"]["tests"], pivots)}
+
+
 def _part(chunk: dict, a: int, b: int) -> dict:
     """Images a to b of a chunk."""
     first = np.append(chunk["first"], len(chunk["image"]))
-    part = {k: chunk[k][a:b] for k in _OF_IMAGES} | {k: chunk[k][first[a] : first[b]] for k in _OF_CORNERS}
+    part = {k: chunk[k][a:b] for k in _OF_IMAGES} | {k: chunk[k][first[a] : first[b]] for k in (*_OF_CORNERS, "marks")}
     return part | {"first": part["first"] - first[a], "image": part["image"] - a}
 
 
-def _near_corners(one: dict, two: dict, pivots: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """All pairs of a listed corner of ``one`` and a corner of ``two`` with at most ``most_bits`` different tests; None if they
-    are more than HELD. Corners whose distances to a pivot differ by more are not compared."""
-    rows, columns = np.flatnonzero(one["listed"]), np.lexsort((two["apart"], two["home"]))
-    if not len(rows) or not len(columns):
-        return rows[:0], rows[:0]
-    home, apart = two["home"][columns], two["apart"][columns].astype(np.int64)
-    ring = np.searchsorted(RINGS, apart, side="right")
-    start = np.flatnonzero(np.concatenate([[True], (np.diff(home) != 0) | (np.diff(ring) != 0)]))
-    a, b = (np.ascontiguousarray(c["corners"]["tests"][at].T) for c, at in ((one, rows), (two, columns)))
-    found, size, pivot = [], 0, -1
-    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(columns)]):
-        if home[s] != pivot:
-            pivot = home[s]
-            far = _apart(a, pivots[pivot])
-        near = np.flatnonzero((far <= apart[e - 1] + most_bits) & (far >= apart[s] - most_bits))
-        if not len(near):
+def _axes(known: np.ndarray) -> np.ndarray:
+    """Made-up corners from which distances of sampled corners differ most: signs of their tests' principal directions, and of
+    sums of these. Near corners are about as far from any of them, so others are not compared."""
+    bits = np.unpackbits(np.ascontiguousarray(known).view(np.uint8).reshape(-1, 32), axis=1).astype(np.float64)
+    bits -= bits.mean(axis=0)
+    value, vector = np.linalg.eigh(bits.T @ bits / len(bits))
+    main = (vector * np.sqrt(value.clip(0)))[:, ::-1][:, :MAIN]
+    sums = main @ np.random.default_rng(8).normal(size=(MAIN, AXES - MAIN))
+    return np.packbits(np.ascontiguousarray(np.concatenate([main, sums], axis=1).T) > 0, axis=1).view(np.uint64)
+
+
+def _marks(tests: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The distances of corners' tests to each pivot, filled up to whole words with zeros: a row a corner."""
+    out = np.zeros((len(tests), -(-len(pivots) // 8) * 8), np.uint8)
+    words = np.ascontiguousarray(tests.T)
+    for k, point in enumerate(pivots):
+        out[:, k] = _apart(words, point).clip(0, 255)
+    return out
+
+
+def _walk(marks: np.ndarray) -> np.ndarray:
+    """Corners in an order in which those of like marks stand together: halves by the widest mark, again and again."""
+    parts, out = [(np.arange(len(marks), dtype=np.int32), np.ascontiguousarray(marks.T))], []
+    while parts:
+        own, here = parts.pop()
+        if len(own) <= LEAF // 2:
+            out.append(own)
+            continue
+        order = np.argpartition(here[int(np.argmax(here.max(axis=1) - here.min(axis=1)))], len(own) // 2)
+        for half in (order[len(own) // 2 :], order[: len(own) // 2]):
+            parts.append((own[half], here.take(half, axis=1)))
+    return np.concatenate(out)
+
+
+def _all_of(flags: np.ndarray) -> np.ndarray:
+    """Which rows of flags, whole words long, hold throughout."""
+    words = flags.view(np.uint64)
+    out = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        out &= words[:, k]
+    return out == 0x0101010101010101
+
+
+def _near_corners(one: tuple, two: tuple, most_bits: int, held: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs (places) of corners of ``one`` and of ``two``, their tests and marks in the order of ``_walk``, with at most
+    ``most_bits`` different tests; None if they are more than ``held``. Marks of near corners differ by no more than their tests,
+    so runs of ``two`` are held against the runs of ``one``, and then the corners, whose marks are near all of its marks."""
+    (tests, marks), (tests_two, marks_two) = one, two
+    none = np.zeros(0, np.int32)
+    found, size = [(none, none)], 0
+    if not len(tests) or not len(tests_two):
+        return found[0]
+    a, b = (np.ascontiguousarray(x.T) for x in (tests, tests_two))
+    starts, run = np.arange(0, len(tests), LEAF // 4), np.arange(LEAF // 4, dtype=np.int32)
+    low, high = np.minimum.reduceat(marks, starts), np.maximum.reduceat(marks, starts)
+    differ, more, some = np.empty(STEP, np.uint64), np.empty(STEP, np.uint64), np.empty(STEP, np.uint8)
+    for s in range(0, len(tests_two), LEAF):
+        e = min(s + LEAF, len(tests_two))
+        here = marks_two[s:e]
+        least, most = here.min(axis=0), here.max(axis=0)
+        least, most = least - np.minimum(least, most_bits), most + np.minimum(255 - most, most_bits)
+        runs = np.flatnonzero(_all_of((low <= most) & (high >= least)))
+        if not len(runs):
             continue
-        w = a[:, near]
-        step = max(1, STEP // len(near))
-        for at in range(s, e, step):
-            v = b[:, at : min(e, at + step)]
-            d = np.bitwise_count(w[3] ^ v[3][:, None])
-            for k in (0, 1):
-                d += np.bitwise_count(w[k] ^ v[k][:, None])
-            hit = np.flatnonzero(d <= most_bits)
-            c, r = np.divmod(hit, len(near))
-            ok = d.ravel()[hit] + np.bitwise_count(w[2][r] ^ v[2][c]).astype(np.int16) <= most_bits
-            found.append((near[r[ok]].astype(np.int32), (c[ok] + at).astype(np.int32)))
+        rows = (starts[runs].astype(np.int32)[:, None] + run).ravel()
+        if rows[-1] >= len(tests):
+            rows = rows[: np.searchsorted(rows, len(tests))]
+        rows = rows[_all_of((marks.take(rows, axis=0) - least) <= most - least)]  # without a sign: what is below is far above
+        for at in range(0, len(rows), STEP // LEAF):
+            own = rows[at : at + STEP // LEAF]
+            w, v, shape = a.take(own, axis=1), b[:, s:e], (e - s, len(own))
+            x, y, d = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in (differ, more, some))
+            np.bitwise_xor(w[0], v[0][:, None], out=x)
+            for k in range(1, 4):
+                x |= np.bitwise_xor(w[k], v[k][:, None], out=y)
+            # places of tests that differ in any word are no more than tests that differ, and not many less where these are few
+            c, r = np.divmod(np.flatnonzero(np.bitwise_count(x, out=d) <= most_bits).astype(np.int32), np.int32(len(own)))
+            ok = _apart(w[:, r], v[:, c]) <= most_bits
+            found.append((own[r[ok]], c[ok] + np.int32(s)))
             size += len(found[-1][0])
-            if size > HELD:
-                return None
-    if not found:
-        return rows[:0], rows[:0]
-    r, c = (np.concatenate(x) for x in zip(*found))
-    return rows.astype(np.int32)[r], columns.astype(np.int32)[c]
+        if size > held:
+            return None
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _maybe_often(key: np.ndarray, times: int) -> np.ndarray:
+    """Which keys may be there so many times: numbers that share a hash are taken as one."""
+    if len(key) < times:
+        return np.zeros(len(key), bool)
+    short = key if int(key.max()) < 1 << 22 else (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+    return (np.bincount(short) >= times)[short]
 
 
 def _often(key: np.ndarray, times: int) -> np.ndarray:
     """Which keys (below 2 to the 40th, at most 2 to the 23rd of them) are there so many times."""
     out = np.zeros(len(key), bool)
-    if len(key) < times:
-        return out
-    short = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.int64)
-    some = np.flatnonzero(np.bincount(short)[short] >= times)  # most are not even if numbers that share a hash are taken as one
+    some = np.flatnonzero(_maybe_often(key, times))
     if len(some) >= times:
         order = np.sort(key[some] << 23 | np.arange(len(some)))
         same = order[times - 1 :] >> 23 == order[: len(order) - times + 1] >> 23
@@ -516,42 +576,139 @@ def _often(key: np.ndarray, times: int) -> np.ndarray:
     return out
 
 
+def _listed(chunk: dict, other: dict, least: int, shift: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of a chunk's images that can be ``shift`` levels above the ``other`` chunk's, and how often these have their
+    like there by the sample: the rarest of each image, all but the most common that may be left out if ``sure`` of those that
+    agree, as many as the image or ``least`` ask for, must be listed."""
+    share = np.bincount(other["corners"]["level"], minlength=3 * LEVELS) / KNOWN
+    level = chunk["corners"]["level"].astype(np.int16) - shift
+    able = np.flatnonzero((level >= 0) & (level < LEVELS))
+    likes = (chunk["rare"] + 0.1)[able] * share[level[able]]
+    order = np.argsort(chunk["image"][able] + likes / (1 + likes.max(initial=0)))
+    able, likes = able[order], likes[order]
+    image = chunk["image"][able]
+    count = np.bincount(image, minlength=len(chunk["size"]))
+    need = np.minimum(chunk["need"], least)
+    lists = np.where(count >= need, count - need + sure, 0)
+    listed = np.arange(len(able)) - (np.cumsum(count) - count)[image] < lists[image]
+    return able[listed], likes[listed]
+
+
+def _able(chunk: dict, least: int, shift: int) -> np.ndarray:
+    """The corners that can be ``shift`` levels below others, of images that have as many of them as a link asks for."""
+    level = chunk["corners"]["level"].astype(np.int16) + shift
+    able = np.flatnonzero((level >= 0) & (level < LEVELS))
+    image = chunk["image"][able]
+    return able[(np.bincount(image, minlength=len(chunk["size"])) >= np.minimum(chunk["need"], least))[image]]
+
+
 def _tile_pairs(one: dict, two: dict, own: bool, pivots: np.ndarray, most_bits: int, sure: int) -> Iterator[tuple[int, int]]:
-    """Pairs of images (places in ``one`` and ``two``), of different groups and of classes not yet met, of which ``sure`` listed
-    corners of the first have votes in one cell of ``agreeing``. ``own``: both are of one chunk."""
+    """Pairs of images (places in ``one`` and ``two``), of different groups and of classes not yet met, that may be linked.
+    ``own``: both are of one chunk. Corners that agree differ in levels by one shift, so a shift is compared at a time: ``sure``
+    listed corners must have votes in one cell of ``agreeing``, and as many corners as a link needs must be near and turned alike.
+    The corners that are listed are those of the side where this costs less."""
+    one, two = (_marked(c, pivots) for c in (one, two))
+    met = []
+    for shift in range(1 - LEVELS, LEVELS):
+        sides = ((one, two, int(own), shift), (two, one, -int(own), -shift))
+        cost = [float(_listed(a, b, _least(a, b, side), by, sure)[1].sum()) for a, b, side, by in sides]
+        turned = cost[1] < cost[0]
+        a, b, side, by = sides[turned]
+        p, q = np.divmod(_shift_pairs(a, b, side, by, most_bits, sure), len(b["class"]))
+        met.append(q * len(two["class"]) + p if turned else p * len(two["class"]) + q)
+    met = np.unique(np.concatenate(met))
+    yield from zip(*(x.tolist() for x in np.divmod(met[_enough(one, two, met, most_bits)], len(two["class"]))))
+
+
+def _least(one: dict, two: dict, own: int) -> int:
+    """The least that a link of images of ``one`` with others asks for: with larger images of their chunk (``own`` 1), what they
+    ask for themselves."""
+    return int(one["need"].max() if own > 0 else min(one["need"].min(), two["need"].min()) if own < 0 or one is two else two["need"].min())
+
+
+def _enough(one: dict, two: dict, pairs: np.ndarray, most_bits: int) -> np.ndarray:
+    """Which pairs of images have as many near corners, of one shift of levels and in one part of turns, on both sides as a link
+    needs; very large ones are not looked at."""
+    p, q = np.divmod(pairs, len(two["class"]))
+    need, cells = np.minimum(one["need"][p], two["need"][q]), one["size"][p] * two["size"][q]
+    out = cells > COMPARED
+    small = np.flatnonzero(~out)
+    for some in np.split(small, np.flatnonzero(np.diff(np.cumsum(cells[small]) // COMPARED)) + 1) if len(small) else ():
+        times = cells[some]
+        pair = np.repeat(np.arange(len(some)), times)
+        i, j = np.divmod(np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times), two["size"][q[some]][pair])
+        i, j = one["first"][p[some]][pair] + i, two["first"][q[some]][pair] + j
+        near = np.flatnonzero(_apart(one["corners"]["tests"].take(i, axis=0).T, two["corners"]["tests"].take(j, axis=0).T) <= most_bits)
+        i, j, pair = i[near], j[near], pair[near]
+        a, b = one["corners"][i], two["corners"][j]
+        shift = a["level"].astype(np.int64) - b["level"] + LEVELS
+        first, second = ((x["size"].astype(np.int64)[k], x["order"][k]) for x, k in ((one, p[some][pair]), (two, q[some][pair])))
+        swap = (first[0] > second[0]) | (first[0] == second[0]) & (first[1] > second[1])
+        turn = b["angle"].astype(np.int64) - a["angle"]
+        turn = np.where(swap, -turn, turn) % 256
+        for grid in range(2):
+            key, part = np.unique((pair * (2 * LEVELS) + shift) * 16 + (turn + 10 * grid) // 20, return_inverse=True)
+            counts = [np.bincount(np.unique(part << 40 | k) >> 40, minlength=len(key)) for k in (i, j)]
+            owner = key // (32 * LEVELS)
+            out[some[owner[np.minimum(*counts) >= need[some][owner]]]] = True
+    return out
+
+
+def _shift_pairs(one: dict, two: dict, own: int, shift: int, most_bits: int, sure: int) -> np.ndarray:
+    """What ``_tile_pairs`` gives of one shift of levels, as numbers: a place in ``one`` times the images of ``two`` and a
+    place in ``two``. ``own``: not 0 if both are of one chunk, 1 if the places in ``two`` come later, -1 if earlier."""
     sizes = len(one["class"]), len(two["class"])
-    expected = float((one["rare"] * one["listed"]).sum()) / KNOWN * len(two["image"])
-    near = _near_corners(one, two, pivots, most_bits) if sizes == (1, 1) or expected < HELD else None
+    (rows, likes), none = _listed(one, two, _least(one, two, own), shift, sure), np.zeros(0, np.int64)
+    if not len(rows):
+        return none
+    columns = _able(two, _least(two, one, 0), shift)
+    near, left = [], HELD
+    parts = []
+    for level in range(max(0, shift), min(LEVELS, LEVELS + shift)):
+        i, j = rows[one["corners"]["level"][rows] == level], columns[two["corners"]["level"][columns] == level - shift]
+        parts.append((i[np.argsort(one["walk"][i])], j[np.argsort(two["walk"][j])]))
+    if sizes == (1, 1) or likes.sum() < HELD:
+        for i, j in parts:
+            found = _near_corners((one["corners"]["tests"][i], one["marks"][i]), (two["corners"]["tests"][j], two["marks"][j]), most_bits, left)
+            if found is None:
+                near = None
+                break
+            near.append((i[found[0]], j[found[1]]))
+            left -= len(found[0])
+    else:
+        near = None
     if near is None:
         if sizes == (1, 1):
-            yield 0, 0  # two images of very many corners: compared in full
-            return
+            return np.zeros(1, np.int64)  # two images of very many corners: compared in full
         long = sizes[0] == 1 or sizes[1] > 4 * sizes[0]
         half = sizes[long] // 2
+        out = [none]
         for a, b in ((0, half), (half, sizes[long])):
-            parts = (one, _part(two, a, b)) if long else (_part(one, a, b), two)
-            for i, j in _tile_pairs(*parts, own, pivots, most_bits, sure):
-                yield (i, j + a) if long else (i + a, j)
-        return
-    r, c = near
-    del near
-    p, q = one["image"].astype(np.int32)[r], two["image"].astype(np.int32)[c]
+            halves = (one, _part(two, a, b)) if long else (_part(one, a, b), two)
+            p, q = np.divmod(_shift_pairs(*halves, own, shift, most_bits, sure), len(halves[1]["class"]))
+            out.append((p * sizes[1] + q + a) if long else ((p + a) * sizes[1] + q))
+        return np.concatenate(out)
+    r, c = (np.concatenate(x) for x in zip(*near))
+    del near, parts
+    pair = one["image"][r] * np.int64(sizes[1]) + two["image"][c]
+    some = np.flatnonzero(_maybe_often(pair, sure))
+    r, c, pair = r[some], c[some], pair[some]
+    p, q = np.divmod(pair, sizes[1])
     ok = one["far"][p] != two["far"][q]
     if own:
-        ok &= one["place"][p] < two["place"][q]
-    r, c, p, q = r[ok], c[ok], p[ok], q[ok]
-    swap = (one["size"][p] == two["size"][q]) & (one["order"][p] > two["order"][q])  # as ``agreeing`` does
+        ok &= own * (two["place"][q] - one["place"][p]) > 0
+    r, c, p, q, pair = r[ok], c[ok], p[ok], q[ok], pair[ok]
+    # as ``agreeing`` does
+    swap = (one["size"][p] > two["size"][q]) | (one["size"][p] == two["size"][q]) & (one["order"][p] > two["order"][q])
     turn = two["corners"]["angle"][c].astype(np.int16) - one["corners"]["angle"][r]
     turn = np.where(swap, -turn, turn) % 256
-    levels = one["corners"]["level"][r].astype(np.int16) - two["corners"]["level"][c]
-    pair = p * np.int64(len(two["class"])) + q
     some = np.zeros(len(r), bool)
     for grid in range(2):
-        some |= _often((pair * (2 * LEVELS) + levels + LEVELS) * 16 + (turn + 10 * grid) // 20, sure)
-    r, c, p, q, swap, turn, levels, pair = (x[some] for x in (r, c, p, q, swap, turn, levels, pair))
+        some |= _often(pair * 16 + (turn + 10 * grid) // 20, sure)
+    r, c, p, q, swap, turn, pair = (x[some] for x in (r, c, p, q, swap, turn, pair))
     if not len(r):
-        return
-    ratio = 2.0 ** (-np.where(swap, -levels, levels) / 2)
+        return none
+    ratio = 2.0 ** (-np.where(swap, -shift, shift) / 2)
     ax, ay, bx, by = (np.where(swap, two["corners"][k][c], one["corners"][k][r]) if first else np.where(swap, one["corners"][k][r], two["corners"][k][c]) for first in (True, False) for k in "xy")
     cx, cy = (np.where(swap, two[k][q], one[k][p]) for k in ("cx", "cy"))
     wide = np.where(swap, one["wide"][p], two["wide"][q])
@@ -559,13 +716,12 @@ def _tile_pairs(one: dict, two: dict, own: bool, pivots: np.ndarray, most_bits:
     dx, dy = bx - (_COS[turn] * x - _SIN[turn] * y), by - (_SIN[turn] * x + _COS[turn] * y)
     met = []
     for grid in range(2):
-        cells = np.stack([pair, levels, (turn + 10 * grid) // 20, np.floor(dx / wide + grid / 2), np.floor(dy / wide + grid / 2), r], axis=1).astype(np.int64)
+        cells = np.stack([pair, (turn + 10 * grid) // 20, np.floor(dx / wide + grid / 2), np.floor(dy / wide + grid / 2), r], axis=1).astype(np.int64)
         cells = cells[np.lexsort(cells.T[::-1])]
         cells = cells[np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(axis=1)])]  # a corner votes once
-        last = cells[sure - 1 :, :5]
-        met.append(last[(last == cells[: len(last), :5]).all(axis=1), 0])
-    for both in np.unique(np.concatenate(met)).tolist():
-        yield divmod(both, len(two["class"]))
+        last = cells[sure - 1 :, :4]
+        met.append(last[(last == cells[: len(last), :4]).all(axis=1), 0])
+    return np.unique(np.concatenate(met))
 
 
 def _tile_links(folder: str, pivots: np.ndarray, written: set[int], least_votes: int, least_share: float, most_bits: int, cell: float):
@@ -582,7 +738,7 @@ def _tile_links(folder: str, pivots: np.ndarray, written: set[int], least_votes:
                 ends = (tile - high * (high + 1) // 2, high)
                 if not written.issuperset(ends):  # a chunk that its share of images left empty
                     continue
-                held = {k: held[k] if k in held else _read_chunk(folder, k) for k in set(ends)}
+                held = {k: held[k] if k in held else _marked(_read_chunk(folder, k), pivots) for k in set(ends)}
                 one, two = (held[k] for k in ends)
                 root: dict[int, int] = {}
 
@@ -648,7 +804,7 @@ def _missed_links(corners: DataFrame, links: DataFrame, least_votes: int, least_
     written = dealt.select("chunk", "n", "class", "far", "corners").groupBy("chunk").applyInArrow(_chunk_written(folder, known, least_votes, least_share, most_bits, cell), "chunk int")
     written = {r.chunk for r in written.collect()}
     tiles = chunks * (chunks + 1) // 2
-    run = tidy(_tile_links(folder, known[:PIVOTS], written, least_votes, least_share, most_bits, cell))
+    run = tidy(_tile_links(folder, _axes(known), written, least_votes, least_share, most_bits, cell))
     missed = keep(spark.range(0, tiles, 1, math.ceil(tiles / TILES)).mapInArrow(run, "a long, b long"), "media-links")
     drop_path(spark, folder)
     return missed

@@ -152,3 +152,39 @@ def test_links_that_the_tables_miss(spark):
     want = [(a, b) for a, b in pairs if linked(corners[a], corners[b]) and linked(corners[b], corners[a])]
     got = {r.media: r.component for r in media.image_groups(table(spark, rows)).collect()}
     assert len(want) > 200 and [(a, b) for a, b in want if got[a] != got[b]] == []
+
+
+def test_pairs_compared_in_full_have_the_corners_of_a_link(tmp_path):
+    """What the chunks hand on has as many near corners on both sides as a link needs, whichever side is listed."""
+    images = sorted(((len(c), i, c) for i, (_, data) in enumerate(edits_of(60, 12)) if len(c := media.describe(media.decode_pgm(data))) > 4), key=lambda x: x[:2])
+    known = np.ascontiguousarray(np.concatenate([c for _, _, c in images])["tests"][::5])
+    write = media._chunk_written(f"file://{tmp_path}", known, 5, 0.4, 20, 6.0)
+    for number in range(2):
+        part = images[number::2]
+        write(pa.table({"chunk": pa.array([number] * len(part), pa.int32()), "n": [n for n, _, _ in part], "class": [i for _, i, _ in part], "far": [i for _, i, _ in part], "corners": [c.tobytes() for _, _, c in part]}))
+    one, two = (media._read_chunk(f"file://{tmp_path}", k) for k in range(2))
+    corners = {i: c for _, i, c in images}
+    want = {(i, j) for _, i, c in images[::2] for _, j, d in images[1::2] if linked(c, d)}
+    for a, b in ((one, two), (two, one)):
+        met = {(int(a["class"][i]), int(b["class"][j])) for i, j in media._tile_pairs(a, b, False, known[:40], 20, media.SURE)}
+        assert {(i, j) if a is one else (j, i) for i, j in want} <= met
+        for i, j in met:
+            near = np.bitwise_count(corners[i]["tests"][:, None] ^ corners[j]["tests"][None]).sum(axis=2) <= 20
+            assert min(near.any(axis=0).sum(), near.any(axis=1).sum()) >= media.votes_needed(min(near.shape), 5, 0.4)
+
+
+@pytest.mark.parametrize("leaf, step", [(128, 1 << 17), (8, 64)])
+def test_near_corners_against_all_pairs(leaf, step, monkeypatch):
+    """Near corners are those of all pairs, whatever the pivots; None if they are more than may be held."""
+    monkeypatch.setattr(media, "LEAF", leaf)
+    monkeypatch.setattr(media, "STEP", step)
+    tests = np.concatenate([media.describe(p) for p in pictures(80, 21)])["tests"]
+    one, two = tests[::2], tests[1::2]
+    want = np.argwhere(np.bitwise_count(one[:, None] ^ two[None]).sum(axis=2) <= 20).tolist()
+    for pivots in (media._axes(tests[::3]), tests[:3]):
+        a, b = (media._marks(x, pivots) for x in (one, two))
+        a, b = ((x[k], m[k], k) for x, m, k in ((one, a, media._walk(a)), (two, b, media._walk(b))))
+        r, c = media._near_corners(a[:2], b[:2], 20, 10**6)
+        assert len(want) > 50 and sorted(zip(a[2][r].tolist(), b[2][c].tolist())) == sorted(map(tuple, want))
+        assert media._near_corners(a[:2], b[:2], 20, len(want) - 1) is None
+    assert sorted(media._walk(media._marks(tests, tests[:9])).tolist()) == list(range(len(tests)))
